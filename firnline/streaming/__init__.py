@@ -1,0 +1 @@
+"""Empty on purpose: the survey work is batch only, so no streaming operator exists."""
