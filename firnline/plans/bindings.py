@@ -41,6 +41,11 @@ def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in cols})
 
 
+def whole_price() -> Column:
+    """Whole numbers add up the same in any order."""
+    return F.floor("l_extendedprice").cast("double")
+
+
 def null_if(c: str, value: object) -> Column:
     return F.nullif(F.col(c), F.lit(value))
 
@@ -95,38 +100,44 @@ def plot_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "plot_summary_gaps",
     f"""
-    with points as (select *, nullif(l_quantity, 50) as depth from lineitem)
+    with points as (
+      select *, nullif(l_quantity, 50) as depth, floor(l_extendedprice) as price from lineitem)
     select l_orderkey,
       first(l_linestatus order by {LINE_ORDER_SQL}) as l_linestatus,
       {stats_sql("depth")},
-      round(avg(l_extendedprice), 4) as l_extendedprice,
+      round(avg(price), 6) as price,
       count(*) as count
     from points group by l_orderkey""",
 )
 def plot_summary_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = load(spark, sf_dir, "lineitem").withColumn("depth", null_if("l_quantity", 50.0))
-    out = summarise_plots(
-        points, ["l_orderkey"], "depth", LINE_ORDER, ["l_linestatus"], ["l_extendedprice"]
+    points = load(spark, sf_dir, "lineitem").withColumns(
+        {"depth": null_if("l_quantity", 50.0), "price": whole_price()}
     )
-    out = rounded(out, *[s.format(v="depth") for s in STATS])
-    return rounded(out, "l_extendedprice", digits=4)
+    out = summarise_plots(points, ["l_orderkey"], "depth", LINE_ORDER, ["l_linestatus"], ["price"])
+    return rounded(out, *[s.format(v="depth") for s in STATS], "price")
 
 
 @register(
     "plot_summary_by_flight",
     f"""
-    with points as (select *, cast(year(l_shipdate) as integer) as flight from lineitem)
+    with points as (
+      select *, cast(year(l_shipdate) as integer) as flight, floor(l_extendedprice) as price
+      from lineitem)
     select l_suppkey, flight,
       first(strftime(l_shipdate, '%Y-%m-%d %H:%M') order by {LINE_ORDER_SQL}) as plot_datetime,
       {stats_sql("l_quantity")},
-      round(avg(l_extendedprice), 4) as l_extendedprice,
+      round(avg(price), 6) as price,
       round(avg(l_discount), 6) as l_discount,
       count(*) as count
     from points group by l_suppkey, flight""",
 )
 def plot_summary_by_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = load(spark, sf_dir, "lineitem").withColumns(
-        {"flight": F.year("l_shipdate"), "plot_datetime": fn.format_time("l_shipdate")}
+        {
+            "flight": F.year("l_shipdate"),
+            "plot_datetime": fn.format_time("l_shipdate"),
+            "price": whole_price(),
+        }
     )
     out = summarise_plots(
         points,
@@ -134,10 +145,9 @@ def plot_summary_by_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_quantity",
         LINE_ORDER,
         ["plot_datetime"],
-        ["l_extendedprice", "l_discount"],
+        ["price", "l_discount"],
     )
-    out = rounded(out, *[s.format(v="l_quantity") for s in STATS], "l_discount")
-    return rounded(out, "l_extendedprice", digits=4)
+    return rounded(out, *[s.format(v="l_quantity") for s in STATS], "price", "l_discount")
 
 
 @register(
@@ -146,21 +156,23 @@ def plot_summary_by_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
     select l_suppkey, l_linenumber, l_returnflag,
       first(l_shipdate order by {LINE_ORDER_SQL}) as l_shipdate,
       round(avg(l_quantity), 6) as l_quantity,
-      round(avg(l_extendedprice), 4) as l_extendedprice,
+      round(avg(floor(l_extendedprice)), 6) as price,
       round(case when count(*) = count(nullif(l_discount, 0)) then avg(l_discount) end, 6) as discount,
       count(*) as count
     from lineitem group by l_suppkey, l_linenumber, l_returnflag""",
 )
 def average_repeats_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = load(spark, sf_dir, "lineitem").withColumn("discount", null_if("l_discount", 0.0))
+    points = load(spark, sf_dir, "lineitem").withColumns(
+        {"discount": null_if("l_discount", 0.0), "price": whole_price()}
+    )
     out = average_repeats(
         points,
         ["l_suppkey", "l_linenumber", "l_returnflag"],
-        ["l_quantity", "l_extendedprice", "discount"],
+        ["l_quantity", "price", "discount"],
         LINE_ORDER,
         ["l_shipdate"],
     )
-    return rounded(rounded(out, "l_quantity", "discount"), "l_extendedprice", digits=4)
+    return rounded(out, "l_quantity", "price", "discount")
 
 
 # ---- multi-part cores ---------------------------------------------------------------------
