@@ -38,27 +38,26 @@ def complete_template(
     """Every plot gets a row for each template position; observations elsewhere are dropped.
 
     Missing positions take the plot's last known `fill_cols`, gaps in observed rows the last
-    value before them; then `defaults` replace NULLs and `literals` overwrite. Only the plots
-    and the positions they have are shuffled to find the gaps: the positions seen in a plot
-    are a set of at most `len(template)` numbers, and the others are exploded from it.
+    value before them; then `defaults` replace NULLs and `literals` overwrite. The gaps come from
+    one aggregation: the positions seen in a plot are a set of at most `len(template)` numbers,
+    which merges from partial sets, and the others are exploded from it.
     """
     wanted = _template_table(df, position_cols, template)
-    seen = join_keys(df, wanted, position_cols, "inner")
+    placed = join_keys(df, wanted, position_cols, "left")
+    inside = F.col("_slot").isNotNull()
     last = [
-        F.max_by(F.col(c), F.when(F.col(c).isNotNull(), order_key(order_by))).alias(c)
+        F.max_by(F.col(c), F.when(inside & F.col(c).isNotNull(), order_key(order_by))).alias(c)
         for c in fill_cols
     ]
-    everything = F.array(*[F.lit(i) for i in range(len(template))])
-    # Plots without any position of the template still have to be completed.
-    outside = df.select(plot_key).distinct()
-    plots = seen.groupBy(plot_key).agg(F.collect_set("_slot").alias("_seen"), *last)
+    every = F.array(*[F.lit(i) for i in range(len(template))])
     gaps = (
-        join_keys(outside, plots, [plot_key], "left")
-        .withColumn("_seen", F.coalesce("_seen", F.array().cast("array<int>")))
-        .withColumn("_slot", F.explode(F.array_except(everything, F.col("_seen"))))
+        placed.groupBy(plot_key)
+        .agg(F.collect_set("_slot").alias("_seen"), *last)
+        .withColumn("_slot", F.explode(F.array_except(every, F.col("_seen"))))
         .drop("_seen")
     )
     missing = gaps.join(wanted, "_slot").drop("_slot")
+    seen = placed.where(inside)
     filled = fill_down(seen.drop("_slot"), fill_cols, [plot_key], order_by, hot_rows)
     completed = filled.unionByName(missing, allowMissingColumns=True).select(*df.columns)
     fixed = {c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()}

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -21,6 +22,8 @@ from firnline.functions.missing import ColumnOrName
 
 # Rows of one group that one task may hold.
 HOT_ROWS = 1_000_000
+# Mean rows per group below which partial aggregation before the shuffle does not pay.
+SMALL_GROUP = 16
 # Rows a table may have, counted, to be broadcast; above it Spark chooses the join.
 BROADCAST_ROWS = 1_000_000
 
@@ -28,17 +31,23 @@ BLOCK, POS = "_block", "_pos"
 _ROW_BITS = 33  # monotonically_increasing_id: partition in the high bits, row in the low 33
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and cut its lineage."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="firnline-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+def stage(df: DataFrame) -> DataFrame:
+    """Write `df` as a table in the shared checkpoint folder and read it back.
+
+    Cuts the lineage, survives the loss of an executor, and gives Spark the true size and the
+    column pruning of a Parquet table.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="firnline-"))
+        folder = sc.getCheckpointDir()
+    path = f"{folder.rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -97,7 +106,7 @@ def block_sort(
     numbered = ranged.sortWithinPartitions(*order).withColumns(
         {BLOCK: F.spark_partition_id(), POS: row}
     )
-    return Blocks(checkpoint(numbered), count + groups)
+    return Blocks(stage(numbered), count + groups)
 
 
 def block_totals(blocks: Blocks, keys: Sequence[str], weight: Column | None = None) -> DataFrame:
@@ -136,6 +145,12 @@ class Split:
     hot_groups: int = 0
     hot_rows: int = 0
     limit: int = HOT_ROWS
+    mean_rows: float = math.inf
+
+    def gathered(self, keys: Sequence[str]) -> DataFrame:
+        """The cold rows, shuffled by group first where groups are too small for partial results
+        to shrink anything: the aggregation that follows then needs no second shuffle."""
+        return self.cold.repartition(*keys) if self.mean_rows < SMALL_GROUP else self.cold
 
     def blocks(self, df: DataFrame, order: Sequence[ColumnOrName]) -> Blocks:
         """Sorted blocks of (something no longer than) the hot rows, `limit` rows each."""
@@ -150,17 +165,22 @@ def split_hot(df: DataFrame, keys: Sequence[str], limit: int | None) -> Split:
     """
     if limit is None:
         return Split(df)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit)
-    groups, rows = sizes.agg(F.count(F.lit(1)), F.sum("_rows")).first()
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    big = F.col("_rows") > limit
+    all_groups, all_rows, groups, rows = sizes.agg(
+        F.count(F.lit(1)), F.sum("_rows"), F.count_if(big), F.sum(F.when(big, F.col("_rows")))
+    ).first()
+    mean = (all_rows or 0) / max(1, all_groups)
     if groups == 0:
-        return Split(df)
-    hot_keys = small(checkpoint(sizes.select(*keys)), groups)
+        return Split(df, mean_rows=mean)
+    hot_keys = small(stage(sizes.where(F.col("_rows") > limit).select(*keys)), groups)
     return Split(
         cold=join_keys(df, hot_keys, keys, "left_anti"),
         hot=join_keys(df, hot_keys, keys, "left_semi"),
         hot_groups=groups,
         hot_rows=rows,
         limit=limit,
+        mean_rows=mean,
     )
 
 

@@ -54,7 +54,7 @@ def summarise_plots(
         )
         return stats.withColumns({c: F.col(f"_first.{c}") for c in first_cols}).drop("_first")
 
-    summary = merged(split.cold, strict(F.median, value).alias(med)).select(*out)
+    summary = merged(split.gathered(keys), strict(F.median, value).alias(med)).select(*out)
     if split.hot is None:
         return summary
     medians = exact_median(split, keys, value, med)

@@ -15,7 +15,8 @@ from firnline.operators.joins import left_join
 from firnline.operators.multipart import resolve_multipart
 from firnline.operators.rows import align, union_all
 from firnline.operators.rules import apply_aliases, apply_corrections
-from firnline.operators.skew import HOT_ROWS, checkpoint
+from firnline.operators.skew import HOT_ROWS
+from firnline.operators.skew import stage as write_stage
 from firnline.operators.station import (
     merge_station_cores,
     sensor_depth,
@@ -65,6 +66,9 @@ def run_trip(
     table only. The observations feed every other table, so they are written once to the
     checkpoint folder unless `stage=False`.
     """
+    if stage:
+        # A table of known size: Spark can decide to broadcast it to the observations.
+        coords = write_stage(coords.select(*COORD.names))
     raw = union_all(*forms).withColumn("plug", F.coalesce("plug", F.lit(0.0)))
     if rules is not None:
         raw = apply_corrections(raw, rules, ["plot_id", "sample_type"], "depth")
@@ -97,7 +101,7 @@ def run_trip(
         at_station = align(_locate(station.drop(*COORD.names[1:]), coords), OBSERVATION)
         observations = observations.unionByName(at_station)
     if stage:
-        observations = checkpoint(observations)
+        observations = write_stage(observations)
     surveyed = observations
     if template is not None:
         surveyed = complete_template(

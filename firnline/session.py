@@ -12,9 +12,6 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # median() and min_by(struct) keep object buffers; with the default of 128
-    # groups per task they fall back to sorting far too early for per-plot work.
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "20000",
 }
 
 
