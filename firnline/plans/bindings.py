@@ -15,7 +15,7 @@ from firnline.operators import coords as coord
 from firnline.operators import geo, joins, multipart, reshape, rows, rules, station, totals
 from firnline.operators.complete import complete_template
 from firnline.operators.summarise import average_repeats, summarise_plots
-from firnline.plans.trip import run_trip, station_records
+from firnline.plans.trip import Trip, run_trip, station_records
 from firnline.schema import COORD, OBSERVATION, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1457,7 +1457,7 @@ TRIP_SQL = f"""
       from visits group by station)"""
 
 
-def trip(spark: SparkSession, sf_dir: str):
+def trip(spark: SparkSession, sf_dir: str) -> Trip:
     flag, key = F.col("l_returnflag"), F.col("l_suppkey")
     lineitem = rows.keep(load(spark, sf_dir, "lineitem"), not_equal={"l_quantity": 50.0})
     form = lineitem.select(

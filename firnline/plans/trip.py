@@ -64,11 +64,10 @@ def run_trip(
     `forms` are canonical point forms, `station` records already in the observation schema.
     `repeats` averages repeated single cores first; `template` completes plots, for the plot
     table only. The observations feed every other table, so they are written once to the
-    checkpoint folder unless `stage=False`.
+    checkpoint folder; `stage=False` is for a caller that wants one of the tables only.
     """
-    if stage:
-        # A table of known size: Spark can decide to broadcast it to the observations.
-        coords = write_stage(coords.select(*COORD.names))
+    # As a written table its size is known, so Spark can decide to broadcast it.
+    coords = write_stage(coords.select(*COORD.names))
     raw = union_all(*forms).withColumn("plug", F.coalesce("plug", F.lit(0.0)))
     if rules is not None:
         raw = apply_corrections(raw, rules, ["plot_id", "sample_type"], "depth")
