@@ -23,7 +23,7 @@ from firnline.functions.missing import ColumnOrName
 # Rows of one group that one task may hold.
 HOT_ROWS = 1_000_000
 # Mean rows per group below which partial aggregation before the shuffle does not pay.
-SMALL_GROUP = 16
+SMALL_GROUP = 256
 # Rows a table may have, counted, to be broadcast; above it Spark chooses the join.
 BROADCAST_ROWS = 1_000_000
 

@@ -995,13 +995,15 @@ def suffix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "dimension_left",
     """
-    select c_custkey, c_name, o_orderkey, o_totalprice
+    select c_custkey, c_name, cast(o_orderkey as varchar) as o_orderkey, o_totalprice
     from customer left join orders on c_custkey = o_custkey and o_totalprice > 100000""",
 )
 def dimension_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = load(spark, sf_dir, "customer").select("c_custkey", "c_name")
     orders = rows.keep(load(spark, sf_dir, "orders"), after={"o_totalprice": 100000.0}).select(
-        F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice"
+        F.col("o_custkey").alias("c_custkey"),
+        F.col("o_orderkey").cast("string").alias("o_orderkey"),
+        "o_totalprice",
     )
     return joins.dimension_left_join(customers, orders, ["c_custkey"])
 
@@ -1313,12 +1315,15 @@ def filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "filters_null_keys",
     """
-    select o_orderkey, k from (select o_orderkey, nullif(o_custkey, 5) as k from orders)
-    where k is null or k not in (1, 2, 3)""",
+    select o_orderkey, k
+    from (select o_orderkey, cast(nullif(o_custkey, 5) as varchar) as k from orders)
+    where k is null or k not in ('1', '2', '3')""",
 )
 def filters_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keyed = load(spark, sf_dir, "orders").select("o_orderkey", null_if("o_custkey", 5).alias("k"))
-    return rows.keep(keyed, not_in={"k": [1, 2, 3]})
+    keyed = load(spark, sf_dir, "orders").select(
+        "o_orderkey", null_if("o_custkey", 5).cast("string").alias("k")
+    )
+    return rows.keep(keyed, not_in={"k": ["1", "2", "3"]})
 
 
 @register(
