@@ -15,7 +15,10 @@ from firnline.operators import coords as coord
 from firnline.operators import geo, joins, multipart, reshape, rows, rules, station, totals
 from firnline.operators.complete import complete_template
 from firnline.operators.summarise import average_repeats, summarise_plots
-from firnline.plans.trip import Trip, run_trip, station_records
+from firnline.plans.areas import AreaTotals, area_totals
+from firnline.plans.sites import append_coords, append_coords_to_summary, site_coordinates
+from firnline.plans.trip import Trip, plots_by_flight, run_trip, station_records
+from firnline.plans.wide import located_summaries, wide_observations
 from firnline.schema import COORD, OBSERVATION, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1551,3 +1554,294 @@ def run_trip_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = trip(spark, sf_dir)
     both = joins.natural_left_join(days.daily_depth, days.daily_density)
     return rounded(both, "total_depth_metre", "total_density_metre")
+
+
+COORDS_SQL = """
+    coords as (
+      select cast(s.s_suppkey as varchar) as plot_id, s.s_acctbal as easting,
+        cast(s.s_nationkey as double) as northing, s.s_acctbal / 2 as elev_ellipsoidal,
+        c.c_acctbal as lon, cast(c.c_nationkey as double) as lat
+      from supplier s left join customer c on s.s_suppkey = c.c_custkey and c.c_custkey % 3 <> 0)"""
+
+
+def plot_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coord.coord_table(*coord_sides(spark, sf_dir))
+
+
+@register(
+    "plots_by_flight",
+    f"""
+    with {COORDS_SQL},
+    seen as (
+      select cast(l_suppkey as varchar) as plot_id, cast(year(l_shipdate) as varchar) as flight,
+        l_shipdate as survey_time, l_linestatus as plot_type, l_orderkey as ord, l_linenumber as line,
+        l_quantity as depth, {WATER.replace("mass", "l_extendedprice")} as swe,
+        {WATER.replace("mass", "l_extendedprice")} / nullif(l_quantity - l_linenumber, 0) as density
+      from lineitem where l_suppkey % 10 <> 7),
+    located as (select c.*, s.* exclude (plot_id) from coords c left join seen s on c.plot_id = s.plot_id)
+    select plot_id, flight,
+      first(strftime(survey_time, '%Y-%m-%d %H:%M') order by survey_time, ord, line) as plot_datetime,
+      first(plot_type order by survey_time, ord, line) as plot_type,
+      {stats_sql("depth")},
+      round(avg(easting), 4) as easting, round(avg(lat), 6) as lat,
+      round(avg(swe), 4) as swe, round(avg(density), 4) as density, count(*) as count
+    from located group by plot_id, flight""",
+)
+def plots_by_flight_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mass = F.col("l_extendedprice")
+    some = load(spark, sf_dir, "lineitem").where(F.col("l_suppkey") % 10 != 7)
+    seen = some.select(
+        F.col("l_suppkey").cast("string").alias("plot_id"),
+        F.year("l_shipdate").cast("string").alias("flight"),
+        F.col("l_shipdate").alias("survey_time"),
+        F.lit("Base").alias("study_area"),
+        F.col("l_linestatus").alias("plot_type"),
+        F.col("l_orderkey").alias("ord"),
+        F.col("l_linenumber").alias("line"),
+        F.col("l_quantity").alias("depth"),
+        fn.swe(mass).alias("swe"),
+        fn.density(fn.swe(mass), "l_quantity", "l_linenumber", "B").alias("density"),
+    )
+    out = plots_by_flight(seen, plot_coords(spark, sf_dir), ["survey_time", "ord", "line"])
+    out = rounded(out, *[s.format(v="depth") for s in STATS], "lat")
+    out = rounded(out, "easting", "swe", "density", digits=4)
+    return out.drop("study_area", "northing", "elev_ellipsoidal", "lon")
+
+
+# ---- wide layout, coordinates and totals of all areas ---------------------------------------
+
+
+@register(
+    "wide_observations",
+    f"""
+    with {COORDS_SQL},
+    wide as (
+      select l_shipdate as survey_time, cast(l_suppkey as varchar) as plot_id, l_orderkey as ord,
+        l_linestatus as plot_type, l_quantity as "Centre", l_extendedprice as "N10",
+        nullif(l_discount, 0) as "N7.5", l_tax as "W2.5"
+      from lineitem),
+    long as (
+      unpivot wide on "Centre", "N10", "N7.5", "W2.5" into name position value depth)
+    select 'Coast' as study_area, survey_time, plot_id, easting, lat, plot_type,
+      case when position = 'Centre' then position else substring(position, 1, 1) end
+        as cardinal_direction,
+      case when position <> 'Centre' then try_cast(substring(position, 2) as double) end
+        as dist_from_centre, depth
+    from long left join coords using (plot_id) where depth is not null""",
+)
+def wide_observations_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = load(spark, sf_dir, "lineitem").select(
+        F.col("l_shipdate").alias("survey_time"),
+        F.col("l_suppkey").cast("string").alias("plot_id"),
+        F.col("l_linestatus").alias("plot_type"),
+        F.col("l_quantity").alias("Centre"),
+        F.col("l_extendedprice").alias("N10"),
+        null_if("l_discount", 0.0).alias("N7.5"),
+        F.col("l_tax").alias("W2.5"),
+    )
+    ids = ["survey_time", "plot_id", "plot_type"]
+    out = wide_observations(wide, ids, "Centre:W2.5", plot_coords(spark, sf_dir), "Coast")
+    return out.select(
+        "study_area", *ids, "easting", "lat", "cardinal_direction", "dist_from_centre", "depth"
+    )
+
+
+@register(
+    "located_summaries",
+    f"""
+    with {COORDS_SQL}
+    select o_orderdate as plot_datetime, cast(o_custkey % 150 as varchar) as plot_id, easting,
+      northing, elev_ellipsoidal, lon, lat, o_orderpriority as plot_type, o_totalprice as mean_depth
+    from orders left join coords on cast(o_custkey % 150 as varchar) = coords.plot_id""",
+)
+def located_summaries_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = load(spark, sf_dir, "orders").select(
+        F.col("o_orderdate").alias("plot_datetime"),
+        (F.col("o_custkey") % 150).cast("string").alias("plot_id"),
+        F.lit(0.0).alias("lon"),
+        F.lit(0.0).alias("lat"),
+        F.col("o_orderpriority").alias("plot_type"),
+        F.col("o_totalprice").alias("mean_depth"),
+    )
+    return located_summaries(given, plot_coords(spark, sf_dir), ["lon", "lat"])
+
+
+@register(
+    "append_coords",
+    f"""
+    with {COORDS_SQL},
+    o as (
+      select l_orderkey, l_linenumber, cast(l_suppkey as varchar) as plot_id, l_quantity as depth,
+        nullif(l_linenumber, 6) as plug, l_extendedprice as mass
+      from lineitem)
+    select l_orderkey, l_linenumber, plot_id, depth, easting, lat, round({WATER}, 5) as swe,
+      round({WATER} / nullif(depth - plug, 0), 5) as density
+    from o left join coords using (plot_id)""",
+)
+def append_coords_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = load(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        F.col("l_suppkey").cast("string").alias("plot_id"),
+        F.col("l_quantity").alias("depth"),
+        null_if("l_linenumber", 6).alias("plug"),
+        F.col("l_extendedprice").alias("mass"),
+    )
+    out = rounded(append_coords(seen, plot_coords(spark, sf_dir)), "swe", "density", digits=5)
+    return out.drop("plug", "mass", "northing", "elev_ellipsoidal", "lon")
+
+
+@register(
+    "append_coords_summary",
+    f"""
+    with {COORDS_SQL},
+    s as (
+      select cast(o_custkey as varchar) as plot_id, max(o_totalprice) as mean_depth, count(*) as count
+      from orders group by o_custkey)
+    select plot_id, mean_depth, count, easting, northing, elev_ellipsoidal, lon, lat
+    from s left join coords using (plot_id)""",
+)
+def append_coords_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = F.col("o_orderstatus") == "F"
+    summary = load(spark, sf_dir, "orders").groupBy(
+        F.col("o_custkey").cast("string").alias("plot_id")
+    )
+    old = summary.agg(
+        F.lit(1.0).alias("easting"),
+        F.lit(2.0).alias("northing"),
+        F.max("o_totalprice").alias("mean_depth"),
+        F.count_if(done).alias("count_depth"),
+        F.count_if(~done).alias("count_density"),
+    )
+    return append_coords_to_summary(old, plot_coords(spark, sf_dir))
+
+
+@register(
+    "site_coordinates",
+    """
+    with stakes as (
+      select cast(event_id as varchar) as id,
+        case when user_id % 5 = 0 then 'na' else cast(user_id as varchar) end as plot_id,
+        value as northing, cast(event_id % 1000 as double) as easting,
+        cast(event_id % 77 as double) as elev, ts, event_id, event_type
+      from events),
+    points as (
+      select 's' || s_suppkey as plot_id, s_acctbal as northing, s_acctbal / 2 as easting,
+        cast(s_nationkey as double) as elev, s_suppkey
+      from supplier where s_suppkey not in (2, 3)),
+    notes as (
+      select s_name as solution, 'x' as aspect, 'open' as cover, 'camera' as station_type,
+        row_number() over (order by s_acctbal, s_suppkey) as i
+      from supplier where s_suppkey not in (2, 3)),
+    bound as (
+      select p.*, n.* from (select *, row_number() over (order by s_suppkey) as i from points) p
+        join notes n on p.i = n.i)
+    select plot_id, round(avg(northing), 6) as northing, round(avg(easting), 6) as easting,
+      round(avg(elev), 6) as elev, first(event_type order by ts, event_id) as solution,
+      'south' as aspect, 'forest' as cover, first(id order by ts, event_id) as station_type
+    from stakes where plot_id <> 'na' group by plot_id
+    union all
+    select plot_id, northing, easting, elev, solution, aspect, cover, station_type from bound
+    union all
+    select 'promoted', round(northing, 6), easting, elev, event_type, 'south', 'forest', id
+    from stakes where id = '40'""",
+)
+def site_coordinates_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    event, user = F.col("event_id"), F.col("user_id")
+    stakes_seen = load(spark, sf_dir, "events").select(
+        event.cast("string").alias("id"),
+        F.when(user % 5 == 0, "na").otherwise(user.cast("string")).alias("plot_id"),
+        F.col("value").alias("northing"),
+        (event % 1000).cast("double").alias("easting"),
+        (event % 77).cast("double").alias("elev"),
+        F.col("event_type").alias("solution"),
+        F.lit("south").alias("aspect"),
+        F.lit("forest").alias("cover"),
+        event.cast("string").alias("station_type"),
+        "ts",
+        event,
+    )
+    supplier = load(spark, sf_dir, "supplier")
+    points = supplier.select(
+        F.concat(F.lit("s"), F.col("s_suppkey")).alias("plot_id"),
+        F.col("s_acctbal").alias("northing"),
+        (F.col("s_acctbal") / 2).alias("easting"),
+        F.col("s_nationkey").cast("double").alias("elev"),
+        "s_suppkey",
+    )
+    notes = rows.keep(supplier, not_in={"s_suppkey": [2, 3]}).select(
+        F.col("s_name").alias("solution"),
+        F.lit("x").alias("aspect"),
+        F.lit("open").alias("cover"),
+        F.lit("camera").alias("station_type"),
+        F.col("s_acctbal").alias("worth"),
+        F.col("s_suppkey").alias("note_key"),
+    )
+    out = site_coordinates(
+        stakes_seen,
+        points,
+        notes,
+        ["s2", "s3"],
+        ["ts", "event_id"],
+        ["s_suppkey"],
+        ["worth", "note_key"],
+        ("40", "promoted"),
+    )
+    return rounded(out, "northing", "easting", "elev")
+
+
+AREA_SQL = """
+    s as (
+      select cast(year(o_orderdate) as varchar) as flight, o_orderpriority as study_area,
+        o_orderdate as survey_time, o_orderkey, day(o_orderdate) as day,
+        case when o_orderkey % 3000 = 0 then null else o_totalprice end as depth,
+        case when o_orderkey % 7 = 0 then null
+          when o_orderpriority = '1-URGENT' then o_totalprice / 10 else o_totalprice end as swe
+      from orders)"""
+AREA_COLUMNS_SQL = """
+      first(survey_time order by survey_time, o_orderkey) as date,
+      round(case when count(*) = count(depth) then sum(depth) end, 2) as total_depth,
+      round(coalesce(sum(swe), 0), 3) as total_swe"""
+
+
+def all_areas(spark: SparkSession, sf_dir: str, gap: int = 3000) -> AreaTotals:
+    key, price = F.col("o_orderkey"), F.col("o_totalprice")
+    summaries = load(spark, sf_dir, "orders").select(
+        F.year("o_orderdate").cast("string").alias("flight"),
+        F.col("o_orderpriority").alias("study_area"),
+        F.col("o_orderdate").alias("survey_time"),
+        key,
+        (F.when(key % gap != 0, price) if gap else price).alias("depth"),
+        F.when(key % 7 != 0, price).alias("swe"),
+    )
+    return area_totals(summaries, {"1-URGENT": 10.0}, "1-URGENT", ["survey_time", "o_orderkey"])
+
+
+@register(
+    "area_daily",
+    f"""
+    with {AREA_SQL}
+    select flight, study_area, cast(day as integer) as day, {AREA_COLUMNS_SQL}
+    from s where study_area <> '1-URGENT' group by flight, study_area, day""",
+)
+def area_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    daily = all_areas(spark, sf_dir).daily
+    return rounded(rounded(daily, "total_depth", digits=2), "total_swe", digits=3)
+
+
+@register(
+    "area_flights",
+    f"with {AREA_SQL} select flight, study_area, {AREA_COLUMNS_SQL} from s group by flight, study_area",
+)
+def area_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flights = all_areas(spark, sf_dir).flights
+    return rounded(rounded(flights, "total_depth", digits=2), "total_swe", digits=3)
+
+
+@register(
+    "area_total",
+    """
+    select round(sum(o_totalprice) / 100000, 3) as total_depth_km from orders""",
+)
+def area_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(all_areas(spark, sf_dir, gap=0).total_km, "total_depth_km", digits=3)

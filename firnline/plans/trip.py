@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firnline.functions.missing import ColumnOrName
+from firnline.functions.parse import format_time
 from firnline.operators.complete import complete_template
-from firnline.operators.joins import left_join
+from firnline.operators.joins import dimension_left_join, left_join
 from firnline.operators.multipart import resolve_multipart
 from firnline.operators.rows import align, union_all
 from firnline.operators.rules import apply_aliases, apply_corrections
@@ -147,6 +148,28 @@ def plot_table(
     return align(_locate(named, coords), PLOT_SUMMARY)
 
 
+def plots_by_flight(
+    observations: DataFrame,
+    coords: DataFrame,
+    order_by: Sequence[ColumnOrName] = ROW_ORDER,
+    hot_rows: int | None = HOT_ROWS,
+) -> DataFrame:
+    """Plot summary per flight over every plot with coordinates, observed or not."""
+    located = dimension_left_join(
+        coords.select(*COORD.names), observations.drop(*COORD.names[1:]), ["plot_id"]
+    )
+    timed = located.withColumn("plot_datetime", format_time("survey_time"))
+    return summarise_plots(
+        timed,
+        ["plot_id", "flight"],
+        "depth",
+        order_by,
+        ["plot_datetime", "study_area", "plot_type"],
+        [*COORD.names[1:], "swe", "density"],
+        hot_rows,
+    )
+
+
 def station_records(
     visits: DataFrame,
     station: str,
