@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from firnline.functions.missing import ColumnOrName
 from firnline.functions.parse import format_time
 from firnline.operators.complete import complete_template
-from firnline.operators.joins import dimension_left_join, left_join
+from firnline.operators.joins import left_join
 from firnline.operators.multipart import resolve_multipart
 from firnline.operators.rows import align, union_all
 from firnline.operators.rules import apply_aliases, apply_corrections
@@ -154,20 +154,25 @@ def plots_by_flight(
     order_by: Sequence[ColumnOrName] = ROW_ORDER,
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
-    """Plot summary per flight over every plot with coordinates, observed or not."""
-    located = dimension_left_join(
-        coords.select(*COORD.names), observations.drop(*COORD.names[1:]), ["plot_id"]
-    )
-    timed = located.withColumn("plot_datetime", format_time("survey_time"))
-    return summarise_plots(
-        timed,
+    """Plot summary per flight for every plot with coordinates, observed or not.
+
+    The observations are summarised before the join, so the join sees one row per plot and
+    flight. A plot without observations is one row that counts itself.
+    """
+    stats = summarise_plots(
+        observations.drop(*COORD.names[1:]),
         ["plot_id", "flight"],
         "depth",
         order_by,
-        ["plot_datetime", "study_area", "plot_type"],
-        [*COORD.names[1:], "swe", "density"],
+        ["survey_time", "study_area", "plot_type"],
+        ["swe", "density"],
         hot_rows,
     )
+    timed = stats.withColumn("survey_time", format_time("survey_time")).withColumnRenamed(
+        "survey_time", "plot_datetime"
+    )
+    located = left_join(coords.select(*COORD.names), timed, ["plot_id"])
+    return located.withColumn("count", F.coalesce("count", F.lit(1).cast("long")))
 
 
 def station_records(

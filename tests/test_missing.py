@@ -163,6 +163,15 @@ def test_clashing_names_get_suffixes(spark):
     assert out.columns == ["k", "x_x", "x_y"] and rows_of(out) == [("p", 1.0, 2.0)]
 
 
+def test_dimension_keeps_rows_without_facts(spark):
+    d = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], table("k:str x:int"))
+    f = spark.createDataFrame([("a", 10), ("a", 11), (None, 12), ("z", 13)], table("k:str x:int"))
+    out = joins.dimension_left_join(d, f, ["k"])
+    assert out.columns == ["k", "x_x", "x_y"]
+    want = [("a", 1, 10), ("a", 1, 11), ("b", 2, None), (None, 3, 12)]
+    assert unordered(rows_of(out)) == unordered(want)
+
+
 def test_keep_and_missing_values(spark):
     df = spark.createDataFrame([("4", 1), ("5", 2), (None, 3)], table("c:str n:int"))
     assert rows_of(rows.keep(df, not_equal={"c": 4}), "n") == [(2,)]

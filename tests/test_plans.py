@@ -66,6 +66,10 @@ def test_skewed_left_join_is_split(spark):
             F.xxhash64("id").alias("x"),
         )
         dims = spark.range(500).select(F.col("id").alias("k"), (F.col("id") * 2).alias("y"))
+        turned = joins.dimension_left_join(dims, facts, ["k"])
+        assert turned.count() == 40_000
+        turned.collect()
+        assert "skew=true" in plan_of(turned)
         for na_matches in (True, False):
             joined = joins.left_join(facts, dims, ["k"], na_matches=na_matches)
             assert joined.agg(F.count("y"), F.count(F.lit(1))).first()[:] == (40_000, 60_000)
