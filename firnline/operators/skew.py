@@ -20,8 +20,12 @@ from pyspark.sql import functions as F
 
 from firnline.functions.missing import ColumnOrName
 
-# Rows of one group that one task may hold.
+# Rows of one group that one task may sort; a window spills.
 HOT_ROWS = 1_000_000
+# The same for a median, which keeps the values of up to 128 groups in memory at a time.
+MEDIAN_ROWS = 50_000
+# Most blocks of a sorted copy; beyond it the blocks grow, as they may: they are sorted with spill.
+MAX_BLOCKS = 20_000
 # Mean rows per group below which partial aggregation before the shuffle does not pay.
 SMALL_GROUP = 256
 # Rows a table may have, counted, to be broadcast; above it Spark chooses the join.
@@ -97,7 +101,7 @@ def block_sort(
     shuffle partitions is used.
     """
     if rows:
-        count = max(1, math.ceil(rows / per_block))
+        count = min(MAX_BLOCKS, max(1, math.ceil(rows / per_block)))
         ranged = df.repartitionByRange(count, *order)
     else:
         count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firnline.functions.missing import ColumnOrName, first_of, skip, strict
-from firnline.operators.skew import HOT_ROWS, exact_median, join_keys, split_hot
+from firnline.operators.skew import MEDIAN_ROWS, exact_median, join_keys, split_hot
 
 
 def summarise_plots(
@@ -18,7 +18,7 @@ def summarise_plots(
     order_by: Sequence[ColumnOrName],
     first_cols: Sequence[str] = (),
     mean_cols: Sequence[str] = (),
-    hot_rows: int | None = HOT_ROWS,
+    hot_rows: int | None = MEDIAN_ROWS,
 ) -> DataFrame:
     """Mean, median, max, min, sd of `value` (NULL if any value is missing), means of `mean_cols`
     over the values present, first row's `first_cols`, and the row count.

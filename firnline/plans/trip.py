@@ -16,7 +16,7 @@ from firnline.operators.joins import left_join
 from firnline.operators.multipart import resolve_multipart
 from firnline.operators.rows import align, union_all
 from firnline.operators.rules import apply_aliases, apply_corrections
-from firnline.operators.skew import HOT_ROWS
+from firnline.operators.skew import MEDIAN_ROWS
 from firnline.operators.skew import stage as write_stage
 from firnline.operators.station import (
     merge_station_cores,
@@ -57,7 +57,7 @@ def run_trip(
     flight: int | None = None,
     density_type: str = "Density",
     order_by: Sequence[ColumnOrName] = ROW_ORDER,
-    hot_rows: int | None = HOT_ROWS,
+    hot_rows: int | None = MEDIAN_ROWS,
     stage: bool = True,
 ) -> Trip:
     """Clean, correct, merge, locate and summarise.
@@ -132,7 +132,7 @@ def plot_table(
     observations: DataFrame,
     coords: DataFrame,
     order_by: Sequence[ColumnOrName] = ROW_ORDER,
-    hot_rows: int | None = HOT_ROWS,
+    hot_rows: int | None = MEDIAN_ROWS,
 ) -> DataFrame:
     """The published plot summary with coordinates."""
     stats = summarise_plots(
@@ -152,7 +152,7 @@ def plots_by_flight(
     observations: DataFrame,
     coords: DataFrame,
     order_by: Sequence[ColumnOrName] = ROW_ORDER,
-    hot_rows: int | None = HOT_ROWS,
+    hot_rows: int | None = MEDIAN_ROWS,
 ) -> DataFrame:
     """Plot summary per flight for every plot with coordinates, observed or not.
 

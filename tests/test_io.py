@@ -39,7 +39,7 @@ def test_missing_tokens_and_bad_text(spark, write):
         "P1,2021-04-27 13:08:19,305,1,no\n"
         "P2,3/9/2021 9:59,?,2.9,\n"
         'NA,later,NaN,x,""\n'
-        '"Steph, 1",NA,NA,NA,yes\n',
+        '"Site, 1",NA,NA,NA,yes\n',
     )
     out = read_form(spark, path, SCHEMA, MAPPING)
     assert out.dtypes == [(f.name, f.dataType.simpleString()) for f in SCHEMA]
@@ -48,7 +48,7 @@ def test_missing_tokens_and_bad_text(spark, write):
             ("P1", at("2021-04-27 13:08:19"), 305.0, 1, "no"),
             ("P2", at("2021-03-09 09:59:00"), None, 2, None),
             (None, None, None, None, None),
-            ("Steph, 1", None, None, None, "yes"),
+            ("Site, 1", None, None, None, "yes"),
         ]
     )
 
