@@ -10,8 +10,6 @@ blocks through a table with about one row per block.
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -19,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from firnline.functions.missing import ColumnOrName
+from firnline.staging import stage
 
 # Rows of one group that one task may sort; a window spills.
 HOT_ROWS = 1_000_000
@@ -35,25 +34,6 @@ BLOCK, POS = "_block", "_pos"
 _ROW_BITS = 33  # monotonically_increasing_id: partition in the high bits, row in the low 33
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write `df` as a table in the shared checkpoint folder and read it back.
-
-    Cuts the lineage, survives the loss of an executor, and gives Spark the true size and the
-    column pruning of a Parquet table.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="firnline-"))
-        folder = sc.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast a table whose row count is known, if it is small."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
