@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from firnline.llm.bpe import op4_byte_bpe
+from firnline.llm.grace import OP2_SQL, op2_exact_dedup
+from firnline.llm.mixing import op1_mixing
 from firnline.llm.quality import OP3_SQL, op3_quality_rules
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op2_exact_dedup": op2_exact_dedup,
     "op3_quality_rules": op3_quality_rules,
+    "op4_byte_bpe": op4_byte_bpe,
 }
-ORACLES = {"op3_quality_rules": OP3_SQL}
+ORACLES = {"op2_exact_dedup": OP2_SQL, "op3_quality_rules": OP3_SQL}
