@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from firnline.llm.bpe import op4_byte_bpe
+from firnline.llm.chosen_path import op8_near_dedup
 from firnline.llm.grace import OP2_SQL, op2_exact_dedup
 from firnline.llm.mixing import op1_mixing
 from firnline.llm.quality import OP3_SQL, op3_quality_rules
@@ -12,5 +13,6 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_byte_bpe": op4_byte_bpe,
+    "op8_near_dedup": op8_near_dedup,
 }
 ORACLES = {"op2_exact_dedup": OP2_SQL, "op3_quality_rules": OP3_SQL}
