@@ -7,12 +7,14 @@ from firnline.llm.chosen_path import op8_near_dedup
 from firnline.llm.grace import OP2_SQL, op2_exact_dedup
 from firnline.llm.mixing import op1_mixing
 from firnline.llm.quality import OP3_SQL, op3_quality_rules
+from firnline.llm.suffix_dedup import op5_suffix_dedup
 
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op8_near_dedup": op8_near_dedup,
 }
 ORACLES = {"op2_exact_dedup": OP2_SQL, "op3_quality_rules": OP3_SQL}
