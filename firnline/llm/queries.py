@@ -5,9 +5,12 @@ from __future__ import annotations
 from firnline.llm.bpe import op4_byte_bpe
 from firnline.llm.chosen_path import op8_near_dedup
 from firnline.llm.grace import OP2_SQL, op2_exact_dedup
+from firnline.llm.html_text import op9_html_text
 from firnline.llm.mixing import op1_mixing
 from firnline.llm.quality import OP3_SQL, op3_quality_rules
+from firnline.llm.rans import op10_token_blocks
 from firnline.llm.suffix_dedup import op5_suffix_dedup
+from firnline.llm.toxicity import op6_toxicity
 
 QUERIES = {
     "op1_mixing": op1_mixing,
@@ -15,6 +18,9 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_toxicity": op6_toxicity,
     "op8_near_dedup": op8_near_dedup,
+    "op9_html_text": op9_html_text,
+    "op10_token_blocks": op10_token_blocks,
 }
 ORACLES = {"op2_exact_dedup": OP2_SQL, "op3_quality_rules": OP3_SQL}
