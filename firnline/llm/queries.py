@@ -11,6 +11,7 @@ from firnline.llm.quality import OP3_SQL, op3_quality_rules
 from firnline.llm.rans import op10_token_blocks
 from firnline.llm.suffix_dedup import op5_suffix_dedup
 from firnline.llm.toxicity import op6_toxicity
+from firnline.llm.url_lists import OP7_SQL, op7_url_lists
 
 QUERIES = {
     "op1_mixing": op1_mixing,
@@ -19,8 +20,9 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_toxicity": op6_toxicity,
+    "op7_url_lists": op7_url_lists,
     "op8_near_dedup": op8_near_dedup,
     "op9_html_text": op9_html_text,
     "op10_token_blocks": op10_token_blocks,
 }
-ORACLES = {"op2_exact_dedup": OP2_SQL, "op3_quality_rules": OP3_SQL}
+ORACLES = {"op2_exact_dedup": OP2_SQL, "op3_quality_rules": OP3_SQL, "op7_url_lists": OP7_SQL}
