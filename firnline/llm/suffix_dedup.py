@@ -21,8 +21,8 @@ documents sends one context per batch, not one per document.
 Rows travel as packed arrays, one row per batch and bucket. Texts are read once for the anchors and
 shuffled twice, never held longer than a batch; long texts are handled in pieces that overlap.
 
-Defined results: a null text is empty; a null doc_id is larger than any other, and copies among
-null ids are not removed, as none is smaller; rows that repeat a doc_id do not remove each other;
+Defined results: a null text is empty; a null doc_id (or one of 2 ** 62 and above) is larger than any
+other, and null ids are ordered among themselves by a hash of their text; rows that repeat a doc_id do not remove each other;
 texts shorter than `length` keep everything; an empty table gives an empty result; other columns
 are not read.
 """
@@ -44,9 +44,9 @@ LENGTH = 50
 GRAM = 20  # bytes of an anchor
 PIECE = 1 << 19  # bytes handled at once
 GROUP_BYTES = 24 << 20  # text bytes per group of documents
-SLICE_ROWS = 4096  # documents whose anchors are settled together
+SLICE_ROWS = 2048  # documents whose anchors are settled together
 SORT_WINDOWS = 1 << 18  # suffixes sorted at once, unless one anchor has more
-NO_ID = (1 << 63) - 1
+NULLS = 1 << 62  # from here on stand null ids, by the hash of their text
 
 _rng = np.random.default_rng(50)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -55,8 +55,25 @@ _IDX = np.uint64((1 << 20) - 1)
 
 # An occurrence of an anchor: its document (id and text hash), the anchor's place, and how far
 # before it the first and the last window start that name it.
-OCCURRENCE = np.dtype([("key", "<u8"), ("doc", "<i8"), ("h", "<i8"), ("at", "<i8"), ("lo", "u1"), ("hi", "u1")])
-SPAN = np.dtype([("doc", "<i8"), ("h", "<i8"), ("start", "<i8"), ("end", "<i8")])
+OCCURRENCE = np.dtype([("key", "<u8"), ("doc", "<i8"), ("h", "<u4"), ("at", "<u4"), ("lo", "u1"), ("hi", "u1")])
+SPAN = np.dtype([("doc", "<i8"), ("h", "<u4"), ("start", "<u4"), ("end", "<u4")])
+
+
+def _pack(records: np.ndarray) -> bytes:
+    """Column by column, which compresses better than row by row."""
+    return b"".join(np.ascontiguousarray(records[name]).tobytes() for name in records.dtype.names)
+
+
+def _unpack(parts: Iterable[bytes], dtype: np.dtype) -> np.ndarray:
+    found = [np.empty(0, dtype)]
+    for data in parts:
+        n, at = len(data) // dtype.itemsize, 0
+        records = np.empty(n, dtype)
+        for name in dtype.names:
+            records[name] = np.frombuffer(data, dtype[name], n, at)
+            at += n * dtype[name].itemsize
+        found.append(records)
+    return np.concatenate(found)
 
 
 def gram_keys(data: np.ndarray) -> np.ndarray:
@@ -143,12 +160,11 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 def _of_group(doc: np.ndarray, h: np.ndarray, groups: int) -> np.ndarray:
     """The group of documents that (doc, h) belongs to; the same as `_group_column`."""
-    return (h ^ (h >> 33)) % groups
+    return h.astype(np.int64) % groups
 
 
 def _group_column(groups: int):
-    h = F.col("h")
-    return F.pmod(h.bitwiseXOR(F.shiftright(h, 33)), F.lit(groups))
+    return F.col("h") % groups
 
 
 def _packed(where: np.ndarray, records: np.ndarray, kind: int) -> Iterator[tuple[int, int, bytes]]:
@@ -158,7 +174,7 @@ def _packed(where: np.ndarray, records: np.ndarray, kind: int) -> Iterator[tuple
         where, records = where[order], records[order]
         cuts = np.flatnonzero(where[1:] != where[:-1]) + 1
         for part, rows in zip(where[np.r_[0, cuts]], np.split(records, cuts), strict=True):
-            yield int(part), kind, rows.tobytes()
+            yield int(part), kind, _pack(rows)
 
 
 _PACKED = pa.schema([("part", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
@@ -183,29 +199,30 @@ def _documents(batch: pa.RecordBatch) -> Iterator[tuple[int, int, bytes]]:
 
 
 def _by_key(records: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted by key; the first of each run; and for each run whether it has more than one document."""
-    records = records[np.argsort(records["key"], kind="stable")]
-    first = np.flatnonzero(np.r_[True, records["key"][1:] != records["key"][:-1]]) if len(records) else np.empty(0, int)
-    if not len(first):
-        return records, first, np.empty(0, bool)
-    shared = np.minimum.reduceat(records["doc"], first) != np.maximum.reduceat(records["doc"], first)
-    return records, first, shared
+    """The order by key and document, the first of each run of a key in it, and whether the run has several documents."""
+    order = np.lexsort((records["doc"], records["key"]))
+    keys, docs = records["key"][order], records["doc"][order]
+    if not len(keys):
+        return order, np.empty(0, int), np.empty(0, bool)
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    last = np.r_[first[1:], len(keys)] - 1
+    return order, first, docs[first] != docs[last]
 
 
-def _ask(length: int, buckets: int, groups: int):
+def _ask(length: int, groups: int):
     """Documents to anchors: those shared inside the batch are known, the others are asked about."""
 
     def rows(batch):
-        records, first, shared = _by_key(occurrences(_documents(batch), length))
-        counts = np.diff(np.r_[first, len(records)])
-        mine = np.repeat(shared, counts)
-        known = records[mine]
-        yield from _packed(_of_group(known["doc"], known["h"], groups), known, KNOWN)
+        records = occurrences(_documents(batch), length)
+        order, first, shared = _by_key(records)
+        known = np.empty(len(records), bool)
+        known[order] = np.repeat(shared, np.diff(np.r_[first, len(records)]))
+        yield from _packed(_of_group(records["doc"][known], records["h"][known], groups), records[known], KNOWN)
         # Of a shared anchor only a sign goes out, with no window of its own.
-        signs = records[first[shared]].copy()
+        signs = records[order[first[shared]]]
         signs["lo"], signs["hi"] = 0, 1
-        asked = np.concatenate([records[~mine], signs])
-        yield from _packed(_bucket(asked["key"], buckets), asked, ASK)
+        asked = np.concatenate([records[~known], signs])
+        yield from _packed(_bucket(asked["key"], groups), asked, ASK)
 
     def slices(batches):
         for batch in batches:
@@ -216,12 +233,14 @@ def _ask(length: int, buckets: int, groups: int):
 
 
 def _answer(groups: int):
-    """Rows of one bucket after the other: the anchors that more than one document has."""
+    """Rows of one bucket after the other: the anchors that more than one document has. What is known passes."""
 
     def run(batches):
         for _, rows in _parts(batches):
-            records, first, shared = _by_key(np.frombuffer(b"".join(r[2] for r in rows), OCCURRENCE))
-            hit = records[np.repeat(shared, np.diff(np.r_[first, len(records)]))]
+            yield from (r for r in rows if r[1] == KNOWN)
+            records = _unpack((r[2] for r in rows if r[1] == ASK), OCCURRENCE)
+            order, first, shared = _by_key(records)
+            hit = records[order[np.repeat(shared, np.diff(np.r_[first, len(records)]))]]
             hit = hit[hit["lo"] >= hit["hi"]]  # without the signs
             yield from _packed(_of_group(hit["doc"], hit["h"], groups), hit, KNOWN)
 
@@ -246,26 +265,26 @@ def _merged_streams(batches: Iterable[pa.RecordBatch], dtype: np.dtype):
     """Rows (part, kind, data, doc, h, content) sorted by part and kind: each document with its records."""
     part, held, index = None, [], None
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("part", "data", "doc", "h", "content")]
-        for p, data, doc, h, content in zip(*columns, strict=True):
+        columns = [batch.column(c).to_pylist() for c in ("part", "data", "doc", "h")]
+        for p, data, doc, h, content in zip(*columns, batch.column("content"), strict=True):
             if p != part:
                 part, held, index = p, [], None
             if data is not None:
                 held.append(data)
                 continue
             if index is None:
-                records = np.frombuffer(b"".join(held), dtype)
+                records = _unpack(held, dtype)
                 records = records[np.lexsort((records["doc"], records["h"]))]
                 held, index = [], (records, records["h"])
             records, hashes = index
             low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
             mine = records[low:high]
-            yield p, doc, h, content, mine[mine["doc"] == doc]
+            yield p, doc, h, content.as_py(), mine[mine["doc"] == doc]
 
 
-def _contexts(length: int, buckets: int, groups: int):
+def _contexts(length: int, groups: int):
     """Documents with their shared anchors to contexts, one per distinct context of a group of documents."""
-    field = np.dtype([("key", "<u8"), ("doc", "<i8"), ("h", "<i8"), ("at", "<i8"), ("lo", "u1"), ("hi", "u1"), ("size", "<u2")])
+    field = np.dtype([*((n, OCCURRENCE[n]) for n in OCCURRENCE.names), ("size", "<u2")])
 
     def flush(seen: dict, groups_out: list):
         # seen: context -> [smallest doc, its occurrences]
@@ -275,13 +294,13 @@ def _contexts(length: int, buckets: int, groups: int):
                 records.append((*place, len(context)))
                 texts.append(context)
         table = np.array(records, field) if records else np.empty(0, field)
-        where = _bucket(table["key"], buckets)
+        where = _bucket(table["key"], groups)
         order = np.argsort(where, kind="stable")
         cuts = np.flatnonzero(np.diff(where[order])) + 1
         for rows in np.split(order, cuts) if len(order) else ():
             head = table[rows]
             body = b"".join(texts[i] for i in rows)
-            yield int(where[rows[0]]), ASK, len(rows).to_bytes(8, "little") + head.tobytes() + body
+            yield int(where[rows[0]]), ASK, len(rows).to_bytes(8, "little") + _pack(head) + body
         if groups_out:
             spans = np.array(groups_out, SPAN)
             yield from _packed(_of_group(spans["doc"], spans["h"], groups), spans, KNOWN)
@@ -289,7 +308,7 @@ def _contexts(length: int, buckets: int, groups: int):
     def run(batches):
         part, seen, later, size = None, {}, [], 0
         for p, doc, h, content, mine in _merged_streams(batches, OCCURRENCE):
-            if p != part or size > 32 << 20:
+            if p != part or size > 8 << 20:
                 yield from flush(seen, later)
                 part, seen, later, size = p, {}, [], 0
             for key, _, _, at, lo, hi in mine.tolist():
@@ -360,10 +379,13 @@ def _settle(length: int, groups: int, field: np.dtype):
 
     def run(batches):
         for _, rows in _parts(batches):
+            yield from (r for r in rows if r[1] == KNOWN)
             entries, texts = [], []
-            for _, _, data in rows:
+            for _, kind, data in rows:
+                if kind == KNOWN:
+                    continue
                 n = int.from_bytes(data[:8], "little")
-                head = np.frombuffer(data, field, n, 8)
+                head = _unpack([data[8 : 8 + n * field.itemsize]], field)
                 ends = np.cumsum(head["size"], dtype=np.int64)
                 body = memoryview(data)[8 + n * field.itemsize :]
                 entries += head.tolist()
@@ -428,7 +450,7 @@ def _results(with_text: bool):
                 left.append(content[at:a])
                 at = b
             left = b"".join([*left, content[at:]])
-            held.append((None if doc == NO_ID else doc, len(content), [a for a, _ in spans], [b for _, b in spans],
+            held.append((None if doc >= NULLS else doc, len(content), [a for a, _ in spans], [b for _, b in spans],
                          hashlib.sha256(left).hexdigest(), left if with_text else None))
             size += len(left) if with_text else 100
             if size > 8 << 20 or len(held) >= 4096:
@@ -449,9 +471,12 @@ def repeated_spans(
     if not GRAM < length <= GRAM + 255:
         raise ValueError(f"length must be above {GRAM} and at most {GRAM + 255}")
     spark = df.sparkSession
+    content = whole(F.col(text))
+    h = F.xxhash64(F.col(doc_id).cast("long"), content)
     docs = df.select(
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), whole(F.col(text)).alias("content")
-    ).select("doc", F.xxhash64("doc", "content").alias("h"), F.col("content").cast("binary").alias("content"))
+        F.coalesce(F.col(doc_id).cast("long"), NULLS + F.shiftrightunsigned(h, 33)).alias("doc"),
+        h.bitwiseAND(F.lit(0xFFFFFFFF)).alias("h"), content.cast("binary").alias("content"),
+    )
     total = docs.agg(F.sum(F.octet_length("content"))).first()[0] or 0
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // group_bytes))
     of_doc = docs.select(
@@ -466,16 +491,16 @@ def repeated_spans(
         return rows.unionAll(of_doc).repartition(groups, "part").sortWithinPartitions("part", "kind")
 
     def bucketed(packed: DataFrame) -> DataFrame:
-        return packed.where(F.col("kind") == ASK).repartition(groups, "part").sortWithinPartitions("part")
-
-    asked = stage(docs.mapInArrow(_ask(length, groups, groups), _PACKED_DDL))
-    answered = stage(bucketed(asked).mapInArrow(_answer(groups), _PACKED_DDL))
-    known = asked.where(F.col("kind") == KNOWN).unionAll(answered)
-    contexts, field = _contexts(length, groups, groups)
-    sent = stage(beside(known).mapInArrow(contexts, _PACKED_DDL))
-    release(spark, asked, answered)
-    settled = stage(bucketed(sent).mapInArrow(_settle(length, groups, field), _PACKED_DDL))
-    spans = sent.where(F.col("kind") == KNOWN).unionAll(settled)
+        return packed.repartition(groups, "part").sortWithinPartitions("part")
+
+    known = stage(
+        bucketed(docs.mapInArrow(_ask(length, groups), _PACKED_DDL)).mapInArrow(_answer(groups), _PACKED_DDL)
+    )
+    contexts, field = _contexts(length, groups)
+    spans = stage(
+        bucketed(beside(known).mapInArrow(contexts, _PACKED_DDL)).mapInArrow(_settle(length, groups, field), _PACKED_DDL)
+    )
+    release(spark, known)
     ddl = "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept_sha256 string, kept binary"
     return beside(spans).mapInArrow(_results(with_text), ddl)
 
