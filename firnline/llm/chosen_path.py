@@ -13,7 +13,8 @@ until the chance of missing a pair at the threshold is below 1 - RECALL.
 A node never gives all its pairs: it gives links that span what belongs together. Trees are taken
 in rounds, and a node whose classes are already connected is not compared again.
 
-A node that stays large at the greatest depth holds classes that are much alike. It is cut into
+A large node that a further token leaves with over half of its parent's classes holds classes that
+are much alike, and branching does not part them (nor what is left at the greatest depth). It is cut into
 blocks that share some pivots, each compared as a small node is; classes that are not connected to
 the node's largest component after that are compared with all of the node, block by block.
 
@@ -42,8 +43,8 @@ from firnline.staging import release, stage
 
 PERCENT = 80
 TOKENS = 128  # minwise tokens of a sketch
-NODE = 64  # classes of a node that are compared exhaustively
-DEPTH = 5
+NODE = 400  # classes of a node that are compared exhaustively
+DEPTH = 24
 BRANCHES = 2
 RECALL = 1 - 1e-7
 #: Share of equal tokens below which a pair is not compared in full: over five standard deviations under 0.8.
@@ -54,6 +55,7 @@ _A = _rng.integers(1, 1 << 63, TOKENS, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 1 << 63, TOKENS, dtype=np.uint64)
 _WORD = [np.uint64(int(x) | 1) for x in _rng.integers(1, 1 << 63, 64, dtype=np.uint64)]
 MEMO_WORDS = 300_000
+NO_PARENT = 1 << 62  # size of what stands above a root
 
 
 def trees_for(recall: float = RECALL, percent: int = PERCENT) -> int:
@@ -135,12 +137,16 @@ def _schema(**fields: pa.DataType) -> pa.Schema:
 _I, _BIN = pa.int64(), pa.binary()
 
 
-def _sketches(shingle: int):
-    schema = _schema(doc_id=_I, n_shingles=_I, digest=_BIN, sketch=_BIN)
+def _sketches(shingle: int, trees: int):
+    schema = _schema(doc_id=_I, n_shingles=_I, digest=_BIN, roots=_BIN, sketch=_BIN)
 
     def one(doc_id, text):
         s = shingle_set(text, shingle)
-        return (doc_id, len(s), _digest(s), sketch(s).tobytes()) if len(s) else (doc_id, 0, None, None)
+        if not len(s):
+            return doc_id, 0, None, None, None
+        tokens = sketch(s)
+        # 16 bits of a token do inside a node; the roots part all classes and need all 32.
+        return doc_id, len(s), _digest(s), tokens[:trees].tobytes(), tokens.astype("<u2").tobytes()
 
     return lambda batches: _batches((one(*row) for row in _rows(batches)), schema, 1024)
 
@@ -159,27 +165,26 @@ def _hash(*parts: int) -> int:
     return xxhash.xxh3_64_intdigest(np.array(parts, np.int64).tobytes()) - (1 << 63)
 
 
-def _roots(trees: int):
-    schema = _schema(tree=pa.int32(), node=_I, digest=_BIN)
+def _roots():
+    schema = _schema(tree=pa.int32(), node=_I, parent=_I, digest=_BIN)
 
     def run(batches):
         for digest, raw in _rows(batches):
-            tokens = np.frombuffer(raw, "<u4")
-            for tree in range(trees):
-                yield tree, _hash(tree, int(tokens[tree % TOKENS])), digest
+            for tree, token in enumerate(np.frombuffer(raw, "<u4").tolist()):
+                yield tree, _hash(tree, token), NO_PARENT, digest
 
     return lambda batches: _batches(run(batches), schema)
 
 
 def _branched():
-    schema = _schema(tree=pa.int32(), node=_I, digest=_BIN)
+    schema = _schema(tree=pa.int32(), node=_I, parent=_I, digest=_BIN)
 
     def run(batches):
-        for tree, node, digest, raw in _rows(batches):
-            tokens = np.frombuffer(raw, "<u4")
+        for tree, node, size, digest, raw in _rows(batches):
+            tokens = np.frombuffer(raw, "<u2")
             for branch in range(BRANCHES):
                 chosen = _hash(node, branch) % TOKENS
-                yield tree, _hash(node, branch, int(tokens[chosen])), digest
+                yield tree, _hash(node, branch, int(tokens[chosen])), size, digest
 
     return lambda batches: _batches(run(batches), schema)
 
@@ -208,7 +213,7 @@ def _alike(percent: int):
             if len(member) < 2:
                 continue
             _, trees, digests, sizes, raws = zip(*member.values())
-            sketches = np.frombuffer(b"".join(raws), "<u4").reshape(len(raws), TOKENS)
+            sketches = np.frombuffer(b"".join(raws), "<u2").reshape(len(raws), TOKENS)
             size = np.array(sizes, np.int64)
             union, linked = _Union(len(raws)), False
             for i in range(len(raws) - 1):
@@ -261,26 +266,29 @@ def _gathered(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(key).sortWithinPartitions(key)
 
 
-def _terminal_nodes(classes: DataFrame, trees: int, node: int, depth: int) -> tuple[list[DataFrame], DataFrame | None]:
-    """Small nodes of all levels, and what is still large at the last: (tree, node, digest, size)."""
-    sketches = classes.select("digest", "sketch")
-    level = stage(sketches.mapInArrow(_roots(trees), "tree int, node long, digest binary"))
-    small = []
+def _terminal_nodes(classes: DataFrame, node: int, depth: int) -> tuple[list[DataFrame], DataFrame | None]:
+    """Small nodes of all levels, and large ones of classes much alike: (tree, node, digest, size)."""
+    ddl = "tree int, node long, parent long, digest binary"
+    level = stage(classes.select("digest", "roots").mapInArrow(_roots(), ddl))
+    small, dense = [], None
     for at in range(depth + 1):
         sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        sized = stage(level.join(sizes, "node").select("tree", "node", "digest", "size"))
+        sized = stage(level.join(sizes, "node").select("tree", "node", "parent", "digest", "size"))
         release(classes.sparkSession, level)
-        small.append(sized.where(F.col("size") <= node).drop("size"))
+        small.append(sized.where(F.col("size") <= node).select("tree", "node", "digest"))
         large = sized.where(F.col("size") > node)
-        if not large.limit(1).count():
-            return small, None
-        if at == depth:
-            return small, large
+        alike = (2 * F.col("size") > F.col("parent")) if at < depth else F.lit(True)
+        if large.limit(1).count():
+            kept = large.where(alike).drop("parent")
+            dense = kept if dense is None else dense.unionByName(kept)
+        more = large.where(~alike).drop("parent")
+        if not more.limit(1).count():
+            break
         level = stage(
-            large.drop("size").join(sketches, "digest").select("tree", "node", "digest", "sketch")
-            .mapInArrow(_branched(), "tree int, node long, digest binary")
+            more.join(classes.select("digest", "sketch"), "digest").select("tree", "node", "size", "digest", "sketch")
+            .mapInArrow(_branched(), ddl)
         )
-    raise AssertionError("unreachable")
+    return small, dense if dense is not None and dense.limit(1).count() else None
 
 
 def _blocks(large: DataFrame, node: int) -> DataFrame:
@@ -370,14 +378,15 @@ def near_groups(
     trees = trees_for(recall, percent)
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = stage(
-        docs.mapInArrow(_sketches(shingle), "doc_id long, n_shingles long, digest binary, sketch binary")
+        docs.mapInArrow(_sketches(shingle, trees), "doc_id long, n_shingles long, digest binary, roots binary, sketch binary")
     )
     classes = stage(
         signed.where(F.col("digest").isNotNull()).groupBy("digest").agg(
-            F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")
+            F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"),
+            F.first("roots").alias("roots"), F.first("sketch").alias("sketch"),
         )
     )
-    small, large = _terminal_nodes(classes, trees, node, depth)
+    small, large = _terminal_nodes(classes, node, depth)
     nodes = small[0]
     for more in [*small[1:], *([_blocks(large, node)] if large is not None else [])]:
         nodes = nodes.unionByName(more)
