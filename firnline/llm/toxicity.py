@@ -137,15 +137,6 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _featured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        raw = [np.unique(hashed(t.as_py())).astype("<u4").tobytes() for t in batch.column("content")]
-        yield pa.record_batch(
-            [batch.column("shard"), batch.column("place"), batch.column("label"), pa.array(raw, pa.binary())],
-            names=["shard", "place", "label", "features"],
-        )
-
-
 def _epoch(state: State):
     sparse = np.flatnonzero((state.z != 0) | (state.n != 0))
     z, n = state.z[sparse], state.n[sparse]
@@ -166,13 +157,13 @@ def _epoch(state: State):
 
         intercept = np.array([len(mine.z) - 1])
         for batch in batches:
-            for of, label, raw in zip(*(batch.column(c).to_pylist() for c in ("shard", "label", "features")), strict=True):
+            for of, label, text in zip(*(batch.column(c).to_pylist() for c in ("shard", "label")), batch.column("content"), strict=True):
                 if of != shard:
                     if rows:
                         yield result()
                     shard, rows = of, 0
                     start()
-                mine.learn(np.r_[np.frombuffer(raw, "<u4").astype(np.int64), intercept], label)
+                mine.learn(np.r_[np.unique(hashed(text.as_py())), intercept], label)
                 rows += 1
         if rows:
             yield result()
@@ -194,13 +185,11 @@ def fit(
     examples = docs.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select(
         F.pmod("place", F.lit(shards)).alias("shard"), "place", "label", "content"
     )
-    examples = stage(
-        examples.mapInArrow(_featured, "shard long, place long, label int, features binary")
-        .repartition(shards, "shard").sortWithinPartitions("shard", "place", "label")
-    )
+    # Texts are several times smaller than their features, which every epoch makes anew.
+    examples = stage(examples)
     state = State.empty()
     for _ in range(epochs):
-        dealt = examples.repartition(shards, "shard").sortWithinPartitions("shard", "place", "label", F.xxhash64("features"))
+        dealt = examples.repartition(shards, "shard").sortWithinPartitions("shard", "place", "label", F.xxhash64("content"))
         # One row per shard, bounded by the number of coordinates.
         results = dealt.mapInArrow(_epoch(state), "rows long, at array<long>, z array<double>, n array<double>").collect()
         total = sum(r.rows for r in results)
