@@ -151,7 +151,7 @@ def _epoch(state: State):
         def result() -> pa.RecordBatch:
             at = np.flatnonzero((mine.z != 0) | (mine.n != 0))
             return pa.record_batch(
-                [pa.array([rows]), pa.array([at.tolist()]), pa.array([mine.z[at].tolist()]), pa.array([mine.n[at].tolist()])],
+                [pa.array([rows]), *(pa.array([x.tobytes()], pa.binary()) for x in (at, mine.z[at], mine.n[at]))],
                 names=["rows", "at", "z", "n"],
             )
 
@@ -191,13 +191,13 @@ def fit(
     for _ in range(epochs):
         dealt = examples.repartition(shards, "shard").sortWithinPartitions("shard", "place", "label", F.xxhash64("content"))
         # One row per shard, bounded by the number of coordinates.
-        results = dealt.mapInArrow(_epoch(state), "rows long, at array<long>, z array<double>, n array<double>").collect()
+        results = dealt.mapInArrow(_epoch(state), "rows long, at binary, z binary, n binary").collect()
         total = sum(r.rows for r in results)
         state = State.empty()
-        for r in sorted(results, key=lambda r: (r.rows, r.z)):
-            at = np.array(r.at, np.int64)
-            state.z[at] += np.array(r.z) * r.rows / total
-            state.n[at] += np.array(r.n) * r.rows / total
+        for r in sorted(results, key=lambda r: (r.rows, bytes(r.z))):
+            at = np.frombuffer(r.at, np.int64)
+            state.z[at] += np.frombuffer(r.z) * (r.rows / total)
+            state.n[at] += np.frombuffer(r.n) * (r.rows / total)
     release(documents.sparkSession, examples)
     weights = state.weights()
     at = np.flatnonzero(weights[:-1])
