@@ -38,12 +38,12 @@ def digits(c: ColumnOrName) -> Column:
 
 
 def parse_time(
-    c: ColumnOrName, formats: Sequence[str] = TIME_FORMATS, min_year: int = 2000
+    c: ColumnOrName, formats: Sequence[str] = TIME_FORMATS, min_year: int | None = None
 ) -> Column:
-    """First format that fits, as zone-free time; NULL for bad text and years before `min_year`."""
+    """First format that fits, as zone-free time; NULL for bad text and, if asked for, years before `min_year`."""
     c = as_col(c)
     parsed = F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats]).cast("timestamp_ntz")
-    return F.when(F.year(parsed) >= min_year, parsed)
+    return parsed if min_year is None else F.when(F.year(parsed) >= min_year, parsed)
 
 
 def format_time(c: ColumnOrName, layout: str = "yyyy-MM-dd HH:mm") -> Column:

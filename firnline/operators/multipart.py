@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from firnline.functions.missing import ColumnOrName, first_of, sum_or_zero
 from firnline.functions.snow import PI, TUBE_RADIUS_CM, density_columns
-from firnline.operators.skew import HOT_ROWS, join_keys, small, split_hot
+from firnline.operators.skew import HOT_ROWS, join_keys, split_hot
 
 MEASURES = ("depth", "core", "plug", "mass")
 
@@ -87,6 +87,6 @@ def merge_parts(
     if split.hot is None:
         return cold
     # A hot core's totals are one row, so they travel to the distinct rows, not the reverse.
-    totals = small(split.hot.groupBy(*keys).agg(*total), split.hot_groups)
+    totals = split.hot.groupBy(*keys).agg(*total)
     hot = join_keys(split.hot.select(*meta_cols).distinct(), totals, keys, "left")
     return cold.unionByName(hot.select(*meta_cols, *MEASURES))

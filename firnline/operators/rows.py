@@ -8,7 +8,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import NumericType, StructType
 
 from firnline.functions.missing import ColumnOrName, order_key, quoted
 from firnline.operators.skew import (
@@ -22,8 +22,6 @@ from firnline.operators.skew import (
     split_hot,
 )
 
-# A slice that ends within this many rows is a top-k; a later one numbers the rows.
-TOP_ROWS = 10_000
 
 
 # ---- projection ---------------------------------------------------------------------------
@@ -91,20 +89,40 @@ def keep(
     """Rows that meet every condition.
 
     A NULL passes `not_in` (it is not in the list) and fails `equals`, `not_equal` and
-    `after`. `not_equal` compares as text, so 4 equals "4".
+    `after`. NaN counts as NULL in `not_null`. `not_equal` compares a number with a text by value
+    if the text is a number, else as text, so 4.0 equals "4".
     """
     tests: list[Column] = [F.col(c) == v for c, v in (equals or {}).items()]
-    tests += [F.col(c).isNotNull() for c in not_null]
+    tests += [_present(df, c) for c in not_null]
     tests += [
         F.coalesce(~F.col(c).isin(list(vs)), F.lit(True)) for c, vs in (not_in or {}).items()
     ]
     for c, v in (not_equal or {}).items():
         same_kind = isinstance(v, str) == _is_text(df, c)
-        tests.append(F.col(c) != v if same_kind else F.col(c).cast("string") != str(v))
+        number = isinstance(df.schema[c].dataType, NumericType) and _number(v)
+        if same_kind:
+            tests.append(F.col(c) != v)
+        elif number is not None and number is not False:
+            tests.append(F.col(c).cast("double") != number)
+        else:
+            tests.append(F.col(c).cast("string") != str(v))
     tests += [F.col(c) > F.lit(v).cast(df.schema[c].dataType) for c, v in (after or {}).items()]
     return df.where(reduce(lambda a, b: a & b, tests)) if tests else df
 
 
+def _present(df: DataFrame, name: str) -> Column:
+    """Neither NULL nor NaN."""
+    found = F.col(name).isNotNull()
+    return found & ~F.isnan(name) if df.schema[name].dataType.simpleString() in ("double", "float") else found
+
+
+def _number(text: Any) -> float | None:
+    try:
+        return float(text)
+    except (TypeError, ValueError):
+        return None
+
+
 def _is_text(df: DataFrame, name: str) -> bool:
     return df.schema[name].dataType.simpleString() == "string"
 
@@ -149,15 +167,10 @@ def slice_rows(
     """Rows `lo` to `hi` (from 1, both included; to the end if `hi` is None) of a total order."""
     if not order_by:
         raise ValueError("slice_rows needs an order: file order is not kept by a cluster")
-    if hi is not None and hi <= TOP_ROWS:
+    if hi is not None:
         return df.orderBy(*order_by).offset(lo - 1).limit(hi - lo + 1)
-    if hi is None and lo <= TOP_ROWS and all(isinstance(c, str) for c in order_by):
-        # The order key of row `lo` is a top-k; the rest is a filter, with no sort or shuffle.
-        edge = df.select(order_key(order_by).alias("_edge")).orderBy("_edge")
-        return df.where(order_key(order_by) >= edge.offset(lo - 1).limit(1).scalar())
     numbered = with_ordinal(df, order_by, name="_row")
-    inside = F.col("_row") >= lo if hi is None else F.col("_row").between(lo, hi)
-    return numbered.where(inside).drop("_row")
+    return numbered.where(F.col("_row") >= lo).drop("_row")
 
 
 def bind_cols(
@@ -166,10 +179,13 @@ def bind_cols(
     order_a: Sequence[ColumnOrName],
     order_b: Sequence[ColumnOrName],
 ) -> DataFrame:
-    """Put two tables of equal length side by side by row position."""
+    """Put two tables side by side by row position; fails when it runs if their lengths differ."""
     left = with_ordinal(a, order_a, name="_row")
-    right = with_ordinal(b, order_b, name="_row")
-    return left.join(right, "_row", "full").drop("_row")
+    right = with_ordinal(b, order_b, name="_row_b")
+    joined = left.join(right, F.col("_row") == F.col("_row_b"), "full")
+    paired = F.coalesce(F.col("_row") == F.col("_row_b"), F.lit(False))
+    both = F.when(paired, F.lit(True)).otherwise(F.raise_error(F.lit("tables differ in length")).cast("boolean"))
+    return joined.where(both).drop("_row", "_row_b")
 
 
 def fill_down(
@@ -224,12 +240,13 @@ def _fill(
 def sort_rows(
     df: DataFrame, by: Sequence[ColumnOrName], then: Sequence[ColumnOrName]
 ) -> DataFrame:
-    """Sort by `by`, ties in the order of `then`.
+    """Sort by `by`, ties in the order of `then`; missing values last.
 
     `then` makes the result repeatable, and lets the range partitioning cut a key that holds
     much of the table.
     """
-    return df.orderBy(*by, *then)
+    last = [F.col(c).asc_nulls_last() if isinstance(c, str) else c for c in (*by, *then)]
+    return df.orderBy(*last)
 
 
 # ---- append -------------------------------------------------------------------------------

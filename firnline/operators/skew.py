@@ -23,22 +23,13 @@ from firnline.staging import stage
 HOT_ROWS = 1_000_000
 # The same for a median, which keeps the values of up to 128 groups in memory at a time.
 MEDIAN_ROWS = 50_000
-# Most blocks of a sorted copy; beyond it the blocks grow, as they may: they are sorted with spill.
-MAX_BLOCKS = 20_000
 # Mean rows per group below which partial aggregation before the shuffle does not pay.
 SMALL_GROUP = 256
-# Rows a table may have, counted, to be broadcast; above it Spark chooses the join.
-BROADCAST_ROWS = 1_000_000
 
 BLOCK, POS = "_block", "_pos"
 _ROW_BITS = 33  # monotonically_increasing_id: partition in the high bits, row in the low 33
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a table whose row count is known, if it is small."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def null_safe(left: Sequence[Column], right: Sequence[Column]) -> Column:
     """All pairs equal, NULL equal to NULL."""
     condition = F.lit(True)
@@ -77,15 +68,16 @@ def block_sort(
 
     Range partitioning samples the order columns, so a big group is cut wherever `order`
     differs; `order` should be total. The copy is written once: every later use must see the
-    same blocks, also after an executor is lost. Without `rows` the session's number of
-    shuffle partitions is used.
+    same blocks, also after an executor is lost. Without `rows` they are counted, and blocks hold
+    at most about `HOT_ROWS` each.
     """
     if rows:
-        count = min(MAX_BLOCKS, max(1, math.ceil(rows / per_block)))
+        count = max(1, math.ceil(rows / per_block))
         ranged = df.repartitionByRange(count, *order)
     else:
-        count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ranged = df.repartitionByRange(*order)
+        least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        count = max(least, math.ceil(df.count() / HOT_ROWS))
+        ranged = df.repartitionByRange(count, *order)
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     numbered = ranged.sortWithinPartitions(*order).withColumns(
         {BLOCK: F.spark_partition_id(), POS: row}
@@ -117,7 +109,7 @@ def join_pieces(
 ) -> DataFrame:
     """Join a (block, group) table back to the rows of the blocks."""
     rows = blocks.df if rows is None else rows
-    return join_keys(rows, small(pieces, blocks.pieces), [BLOCK, *keys], how)
+    return join_keys(rows, pieces, [BLOCK, *keys], how)
 
 
 @dataclass
@@ -157,7 +149,7 @@ def split_hot(df: DataFrame, keys: Sequence[str], limit: int | None) -> Split:
     mean = (all_rows or 0) / max(1, all_groups)
     if groups == 0:
         return Split(df, mean_rows=mean)
-    hot_keys = small(stage(sizes.where(F.col("_rows") > limit).select(*keys)), groups)
+    hot_keys = stage(sizes.where(F.col("_rows") > limit).select(*keys))
     return Split(
         cold=join_keys(df, hot_keys, keys, "left_anti"),
         hot=join_keys(df, hot_keys, keys, "left_semi"),

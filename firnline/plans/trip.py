@@ -59,17 +59,20 @@ def run_trip(
     order_by: Sequence[ColumnOrName] = ROW_ORDER,
     hot_rows: int | None = MEDIAN_ROWS,
     stage: bool = True,
+    plug_default: float | None = 0.0,
 ) -> Trip:
     """Clean, correct, merge, locate and summarise.
 
     `forms` are canonical point forms, `station` records already in the observation schema.
     `repeats` averages repeated single cores first; `template` completes plots, for the plot
     table only. The observations feed every other table, so they are written once to the
-    checkpoint folder; `stage=False` is for a caller that wants one of the tables only.
+    checkpoint folder; `plug_default=None` leaves a missing plug missing; `stage=False` is for a caller that wants one of the tables only.
     """
     # As a written table its size is known, so Spark can decide to broadcast it.
     coords = write_stage(coords.select(*COORD.names))
-    raw = union_all(*forms).withColumn("plug", F.coalesce("plug", F.lit(0.0)))
+    raw = union_all(*forms)
+    if plug_default is not None:
+        raw = raw.withColumn("plug", F.coalesce("plug", F.lit(plug_default)))
     if rules is not None:
         raw = apply_corrections(raw, rules, ["plot_id", "sample_type"], "depth")
     if aliases is not None:

@@ -16,7 +16,6 @@ from firnline.functions.parse import (
     blank_to_null,
     parse_number,
     parse_time,
-    truncate,
 )
 from firnline.operators.rows import union_all
 
@@ -39,12 +38,15 @@ def read_form(
     names: Sequence[str] = (),
     null_tokens: Sequence[str] = NULL_TOKENS,
     time_formats: Sequence[str] = TIME_FORMATS,
+    min_year: int | None = None,
     repair: bool = False,
     file_order: bool = False,
     multiline: bool = False,
     encoding: str = "UTF-8",
 ) -> DataFrame:
-    """Read one form version; every file of a call has the same header.
+    """Read one form version; each path has a header of its own, whose columns are found by name.
+
+    Files of one path (a folder or a pattern) must agree in their header, or reading fails.
 
     `mapping` is `{canonical: header name}` and also selects; without it all named columns are
     kept (a leading row-number column has no name and goes). `schema` gives the type of the
@@ -52,9 +54,13 @@ def read_form(
     Nothing is inferred: text is read, missing tokens become NULL, and what does not fit its
     type becomes NULL. Only the columns used are parsed. `file_order` adds FILE_ORDER.
     """
+    if header and not isinstance(paths, str) and len(paths) > 1:
+        rest = (schema, mapping, header, names, null_tokens, time_formats, min_year, repair, file_order)
+        return union_all(*[read_form(spark, p, *rest, multiline, encoding) for p in paths])
     reader = (
         spark.read.option("encoding", encoding)
         .option("header", header)
+        .option("enforceSchema", False)
         .option("multiLine", multiline)
         .option("escape", '"')
     )
@@ -73,7 +79,7 @@ def read_form(
         chosen = {new: origin[old] for new, old in mapping.items()}
     kinds = {f.name: f.dataType for f in schema} if schema else {}
     cells = [
-        _typed(blank_to_null(quoted(c), null_tokens), kinds.get(n), time_formats).alias(n)
+        _typed(blank_to_null(quoted(c), null_tokens), kinds.get(n), time_formats, min_year).alias(n)
         for n, c in chosen.items()
     ]
     if file_order:
@@ -96,12 +102,14 @@ def read_versions(
     return union_all(*[read_form(spark, p, schema, m, **options) for p, m in versions])
 
 
-def _typed(text: Column, kind: DataType | None, time_formats: Sequence[str]) -> Column:
+def _typed(text: Column, kind: DataType | None, time_formats: Sequence[str], min_year: int | None) -> Column:
     name = "string" if kind is None else kind.simpleString()
     if name in ("int", "bigint"):
-        return truncate(parse_number(text)) if name == "int" else parse_number(text).try_cast(name)
+        # Whole numbers are cast as they stand: a double holds only 53 bits of them.
+        whole = F.when(F.trim(text).rlike(r"^[+-]?[0-9]+$"), F.trim(text).try_cast(name))
+        return F.coalesce(whole, parse_number(text).try_cast(name))
     if name in ("double", "float"):
         return parse_number(text)
     if name in ("timestamp", "timestamp_ntz"):
-        return parse_time(text, time_formats).cast(name)
+        return parse_time(text, time_formats, min_year).cast(name)
     return text if name == "string" else text.try_cast(name)
