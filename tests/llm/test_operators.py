@@ -277,6 +277,33 @@ def test_consensus_outvotes_a_page():
     assert html_text.extract("<body><p>no container of that path</p></body>", usual) == "no container of that path"
 
 
+def own_text(html):
+    return html_text.extract(html, None)
+
+
+def test_choice_takes_in_the_whole_article():
+    long = "body text " * 30
+    for inner in ('<div class="body">%s</div>', "<blockquote>%s</blockquote>", "<table><tr><td>%s</table>"):
+        want = f"T\n{long.strip()}\nrest of it"
+        article = f"<h1>T</h1>{inner % long}<p>rest of it</p>"
+        box = '<div class="ad">buy</div><div class="x"><p>unmarked box</p></div>'
+        for outer in (f"<article>{article}</article>{box}", f'<div class="post"><div>{article}</div></div>{box}', article):
+            for page in (f"<html><body>{outer}</body></html>", f"<body>{outer}"):
+                path = html_text.Page(page).choice()[0]
+                assert html_text.extract(page, path) == want == own_text(page)
+        assert own_text(article) == want
+
+
+def test_second_template_keeps_its_article(spark):
+    first = '<body><div class="main"><p>%s</p></div><div class="x"><p>%s</p></div></body>'
+    second = '<body><div class="main"><p>teaser</p></div><div class="story"><p>%s</p></div></body>'
+    long = "a long article of many words " * 20
+    pages = [(i, f"http://h.example/{i}", first % (long, "box")) for i in range(5)]
+    pages += [(8, "http://h.example/8", first % ("brief", long)), (9, "http://h.example/9", second % long)]
+    got = html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {**dict.fromkeys((0, 1, 2, 3, 4, 9), long.strip()), 8: "brief"}
+
+
 def test_url_lists(spark):
     entries = [
         ("spam", False, "bad.example.com", 10, True), ("spam", False, "bad.example.com", 20, False),
