@@ -304,6 +304,28 @@ def test_second_template_keeps_its_article(spark):
     assert {r.page_id: r.text for r in got} == {**dict.fromkeys((0, 1, 2, 3, 4, 9), long.strip()), 8: "brief"}
 
 
+@pytest.mark.parametrize("name", [
+    "content no-sidebar", "has-sidebar", "post comments-open", "article-share-enabled", "entry hidden-print", "layout-right-sidebar",
+])
+def test_properties_are_no_noise(name):
+    text = "some text of the article " * 9
+    for page in (f'<body><div class="{name}"><p>{text}</div></body>', f'<body><article><div class="{name}"><p>{text}</div></article></body>'):
+        assert own_text(page) == text.strip()
+    if name != "layout-right-sidebar":
+        assert own_text(f'<body><div class="m"><p>{text}<div class="{name}"><p>short</div></div></body>') == f"{text.strip()}\nshort"
+
+
+def test_marked_elements_with_the_article_stay():
+    text = "some text of the article " * 9
+    assert own_text(f'<body><div class="banner"><p>{text}<div class="sidebar"><p>side</div></div></body>') == text.strip()
+    for name in ("sidebar", "cookie-notice", "related-posts", "nav-mobile", "comments-area"):
+        assert own_text(f'<body><div class="m"><p>{text}<div class="{name}"><p>short</div></div></body>') == text.strip()
+    assert own_text(f'<body><div class="m"><p>brief article</p></div><div class="comment-list"><p>{"so true " * 6}</div></body>') == "brief article"
+    assert own_text(f'<body><div class="discussion"><p>{text}</div></body>') == text.strip()
+    post = f'<div class="post"><div class="entry-header"><h1>T</h1></div><div class="b"><p>{text}</div></div>'
+    assert own_text(f'<body><a href="#m">Skip</a>{post}</body>') == f"T\n{text.strip()}"
+
+
 def test_url_lists(spark):
     entries = [
         ("spam", False, "bad.example.com", 10, True), ("spam", False, "bad.example.com", 20, False),
