@@ -416,12 +416,18 @@ def near_groups(
 
 
 def near_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
-    """The rows of `df` that stay, with its columns: one document of each component."""
-    groups = near_groups(df, doc_id, text, shingle)
-    gone = stage(groups.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
-    row = df.select(F.struct("*").alias("_row"))
-    same = F.col(f"_row.`{doc_id}`").cast("long").eqNullSafe(F.col("_gone"))
-    return row.join(gone, same, "left_anti").select("_row.*")
+    """The rows of `df` that stay, with its columns: of each component the one with the smallest doc_id.
+
+    Rows are told apart by a number of their own, so ids may be null or repeat; of equal ids one row stays.
+    """
+    rows = stage(df.select(F.struct("*").alias("_row"), F.monotonically_increasing_id().alias("_n")))
+    groups = near_groups(rows.select("_n", F.col(f"_row.`{text}`").alias("_text")), "_n", "_text", shingle)
+    ids = rows.select("_n", F.col(f"_row.`{doc_id}`").cast("long").alias("_id"))
+    member = stage(groups.join(ids, groups["doc_id"] == ids["_n"]).select("component_id", "_n", "_id"))
+    least = F.min(F.struct(F.col("_id").isNull().alias("_last"), "_id", "_n"))
+    stays = member.groupBy("component_id").agg(least.alias("_least")).select(F.col("_least._n").alias("_n"))
+    gone = stage(member.select("_n").join(stays, "_n", "left_anti"))
+    return rows.join(gone, "_n", "left_anti").select("_row.*")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

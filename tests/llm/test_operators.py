@@ -98,6 +98,21 @@ def test_near_dedup_keeps_columns(docs):
     assert kept.columns == docs.columns
 
 
+def test_near_dedup_keeps_one_row_of_each(spark, rows):
+    other = brute.sentence(41, 80)
+    rows = [*rows, (None, other, "a"), (None, other + " end", "b"), (30, brute.sentence(51, 80), "a"),
+            (30, brute.sentence(1, 120) + " end", "a"), (8, brute.sentence(61, 80), "c")]
+    component = [c for _, _, c in brute.near([(n, t, s) for n, (_, t, s) in enumerate(rows)], 5)]
+    of_text = {t: c for (_, t, _), c in zip(rows, component, strict=True)}
+    smallest = {c: brute.smallest([i for (i, _, _), d in zip(rows, component, strict=True) if c == d]) for c in component}
+    kept = chosen_path.near_dedup(brute.frame(spark, rows), shingle=5).collect()
+    full = [r for r in kept if brute.words(r.text)]
+    want = {c for (_, t, _), c in zip(rows, component, strict=True) if brute.words(t)}
+    assert Counter(of_text[r.text] for r in full) == Counter(want)
+    assert all(r.doc_id == smallest[of_text[r.text]] for r in full)
+    assert bag((r.doc_id, r.text) for r in kept if r not in full) == bag((i, t) for i, t, _ in rows if not brute.words(t))
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 51), (60, 50), (70, 70)], "a long, b long")
     got = {r.v: r.label for r in components.components(links).collect()}
