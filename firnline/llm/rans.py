@@ -14,7 +14,8 @@ them, so a lost executor leaves nothing half-written, and they may lie in any st
 reaches. A block is never larger than BLOCK tokens and the document that crosses it.
 
 Tokens are found with the tokenizers library, word by word: white space always ends a token here,
-and the ids of words met before are remembered, up to a bound.
+and the ids of words met before are remembered, up to a bound. The name of a special token in a text is
+that token, as by the library's default; none is added to a text but the end id.
 
 Defined results: a null text is empty and has the end id alone; a null doc_id comes after all
 others; documents of equal id are ordered by a hash of their text; repeated rows are documents of
@@ -157,7 +158,6 @@ class Words(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
 
     def ids(self, contents: list[bytes]) -> list[bytes]:
         split = [content.split() for content in contents]  # at ASCII white space

@@ -245,6 +245,18 @@ def test_token_files(spark, docs, rows, empty, tmp_path):
     assert rans.read_tokens(spark, f"{tmp_path}/e").count() == 0
 
 
+def test_special_tokens_in_texts(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(rans.vocabulary())
+    texts = ["end <|endoftext|> of x", "a<|endoftext|>b", "(<|startoftext|>),<|endoftext|><|endoftext|>", "<|ENDOFTEXT|> <|end", "x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rans.write_tokens(df, f"{tmp_path}/s", rans.vocabulary())
+    got = {r.doc_id: r.ids for r in rans.read_tokens(spark, f"{tmp_path}/s").collect()}
+    assert got == {i: [*library.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+    assert got[0] == [806, 49407, 539, 343, 2]
+
+
 def test_toxicity(spark, docs, rows, empty):
     bad = [(1000 + i, brute.sentence(i, 30) + (" vileword here" if i % 3 == 0 else ""), "a") for i in range(400)]
     corpus = brute.frame(spark, rows + bad)
