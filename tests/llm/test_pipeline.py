@@ -16,7 +16,7 @@ from firnline.llm.queries import ORACLES, QUERIES  # noqa: E402
 from firnline.staging import stage  # noqa: E402
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = "documents pages labels benchmark".split()
+TABLES = "documents pages labels benchmark embeddings".split()
 
 
 @pytest.fixture(scope="module")
