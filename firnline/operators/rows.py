@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StructType
 
-from firnline.functions.missing import ColumnOrName, order_key, quoted
+from firnline.functions.missing import ColumnOrName, as_col, quoted
 from firnline.operators.skew import (
     BLOCK,
     HOT_ROWS,
@@ -22,7 +23,10 @@ from firnline.operators.skew import (
     split_hot,
 )
 
-
+# Rows that a top-k may hold in one task.
+TOP_ROWS = 10_000
+# Rows sampled in a pass of `row_at`.
+SAMPLE = 2_000
 
 # ---- projection ---------------------------------------------------------------------------
 
@@ -164,13 +168,86 @@ def _number_blocks(blocks: Blocks, keys: Sequence[str], name: str) -> DataFrame:
 def slice_rows(
     df: DataFrame, lo: int, hi: int | None = None, order_by: Sequence[ColumnOrName] = ()
 ) -> DataFrame:
-    """Rows `lo` to `hi` (from 1, both included; to the end if `hi` is None) of a total order."""
+    """Rows `lo` to `hi` (from 1, both included; to the end if `hi` is None) of a total order:
+    ascending columns, missing values first.
+
+    Rows near the start are a top-k. Farther on, the rows at the two edges are selected by counting
+    (`row_at`), and the slice is a filter on the table: nothing is sorted, shuffled or staged. Rows
+    that tie with an edge belong to the slice.
+    """
     if not order_by:
         raise ValueError("slice_rows needs an order: file order is not kept by a cluster")
-    if hi is not None:
-        return df.orderBy(*order_by).offset(lo - 1).limit(hi - lo + 1)
-    numbered = with_ordinal(df, order_by, name="_row")
-    return numbered.where(F.col("_row") >= lo).drop("_row")
+    if hi is not None and hi <= TOP_ROWS:
+        return df.orderBy(*order_by).offset(lo - 1).limit(max(0, hi - lo + 1))
+    keys = [as_col(c) for c in order_by]
+    first = row_at(df, order_by, lo)
+    if first is None or (hi is not None and hi < lo):
+        return df.limit(0)
+    rows = df.where(not_before(keys, first))
+    last = None if hi is None else row_at(df, order_by, hi)
+    return rows if last is None else rows.where(not_after(keys, last))
+
+
+def row_at(df: DataFrame, order_by: Sequence[ColumnOrName], rank: int) -> list[Column] | None:
+    """The order columns' values on the row of this rank (from 1), or None past the end.
+
+    Each pass samples the range that holds the rank, cuts it at two sampled rows around the rank and
+    counts the rows before each, until the range is small. Only order columns are read; the
+    driver gets SAMPLE rows a pass. The sample decides how fast, never which row is found.
+    """
+    names = [f"_o{i}" for i in range(len(order_by))]
+    keys = df.select(*[as_col(c).alias(n) for c, n in zip(order_by, names, strict=True)])
+    cols, types = [F.col(n) for n in names], [f.dataType for f in keys.schema]
+
+    def values(row: Row) -> list[Column]:
+        return [F.lit(v).cast(t) for v, t in zip(row, types, strict=True)]
+
+    def small(rows: DataFrame, place: int) -> list[Column] | None:
+        found = rows.orderBy(*names).offset(place - 1).limit(1).collect()
+        return values(found[0]) if found else None
+
+    if rank <= TOP_ROWS:
+        return small(keys, rank)
+    inside, before, size = keys, 0, keys.count()
+    if rank > size:
+        return None
+    while size > TOP_ROWS:
+        sample = inside.sample(min(1.0, SAMPLE / size), seed=before).orderBy(*names).collect()
+        if not sample:
+            continue
+        at = (rank - before) * len(sample) // size
+        margin = max(1, math.isqrt(len(sample)))
+        low, high = (values(sample[max(0, min(len(sample) - 1, i))]) for i in (at - margin, at + margin))
+        first, second, through = inside.agg(
+            F.count_if(~not_before(cols, low)), F.count_if(~not_before(cols, high)), F.count_if(not_after(cols, high))
+        ).first()
+        place = rank - before
+        if place <= first:
+            inside, size = inside.where(~not_before(cols, low)), first
+        elif place <= second:
+            inside, before, size = inside.where(not_before(cols, low) & ~not_before(cols, high)), before + first, second - first
+        elif place <= through:
+            return high
+        else:
+            inside, before, size = inside.where(~not_after(cols, high)), before + through, size - through
+    return small(inside, rank - before)
+
+
+def not_before(cols: Sequence[Column], edge: Sequence[Column]) -> Column:
+    """Rows at or after `edge` in ascending order, missing values first; never NULL."""
+    return _beyond(cols, edge, lambda c, v: F.coalesce(c > v, c.isNotNull() & v.isNull()))
+
+
+def not_after(cols: Sequence[Column], edge: Sequence[Column]) -> Column:
+    """Rows at or before `edge`."""
+    return _beyond(cols, edge, lambda c, v: F.coalesce(c < v, c.isNull() & v.isNotNull()))
+
+
+def _beyond(cols: Sequence[Column], edge: Sequence[Column], past: Callable[[Column, Column], Column]) -> Column:
+    found = F.lit(True)
+    for c, v in zip(reversed(cols), reversed(edge), strict=True):
+        found = past(c, v) | (c.eqNullSafe(v) & found)
+    return found
 
 
 def bind_cols(

@@ -74,7 +74,7 @@ def test_parse_number(spark, text, number):
         ("2021-04-27 13:08:19", at("2021-04-27 13:08:19")),
         ("3/9/2021 9:59", at("2021-03-09 09:59:00")),
         ("12/31/2021 23:05", at("2021-12-31 23:05:00")),
-        ("0004-05-20 12:00:00", None),
+        ("0004-05-20 12:00:00", at("0004-05-20 12:00:00")),
         ("31/31/2021 1:00", None),
         ("soon", None),
         (None, None),
@@ -213,13 +213,32 @@ def test_slices(spark):
         rows.slice_rows(df, 1, 2)
 
 
-def test_slices_past_the_top_rows(spark, monkeypatch):
+@pytest.mark.parametrize("sample", [3, 40, 2000])
+def test_slices_past_the_top_rows(spark, monkeypatch, sample):
     monkeypatch.setattr(rows, "TOP_ROWS", 10)
+    monkeypatch.setattr(rows, "SAMPLE", sample)
     df = spark.range(1, 401).repartition(7)
+    assert unordered(rows_of(rows.slice_rows(df, 400, None, ["id"]))) == [(400,)]
+    assert rows_of(rows.slice_rows(df, 401, None, ["id"])) == []
+    assert rows_of(rows.slice_rows(df, 200, 199, ["id"])) == []
+    assert unordered(rows_of(rows.slice_rows(df, 390, 900, ["id"]))) == unordered([(i,) for i in range(390, 401)])
     assert unordered(rows_of(rows.slice_rows(df, 95, 130, ["id"]))) == unordered([(i,) for i in range(95, 131)])
     assert unordered(rows_of(rows.slice_rows(df, 293, None, ["id"]))) == unordered([(i,) for i in range(293, 401)])
 
 
+def test_slices_with_ties_and_missing_values_past_the_top_rows(spark, monkeypatch):
+    monkeypatch.setattr(rows, "TOP_ROWS", 3)
+    monkeypatch.setattr(rows, "SAMPLE", 9)
+    values = sorted([(a, b) for a in (None, "", "a", "é") for b in (None, -1.0, 0.0, float("nan"))] * 5,
+                    key=lambda r: (r[0] is not None, r[0] or "", r[1] is not None, r[1] != r[1], r[1] or 0.0))
+    df = spark.createDataFrame(values, "a string, b double").repartition(3)
+    for lo, hi in ((6, 10), (11, 40), (41, None), (80, 80), (1, 75)):
+        got = rows_of(rows.slice_rows(df, lo, hi, ["a", "b"]))
+        edges = {str(values[lo - 1]), str(values[min(hi or 80, 80) - 1])}
+        want = [v for i, v in enumerate(values, 1) if lo <= i <= (hi or 80) or str(v) in edges]
+        assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_slice_tail_with_missing_order_values(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), (1, 1), (1, 2), (2, 1)], "a int, b int")
     want = [(None, 2), (1, 1), (1, 2), (2, 1)]
