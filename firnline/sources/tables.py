@@ -20,13 +20,19 @@ def write_table(
     partition_by: Sequence[str] = (),
     mode: str = "errorifexists",
     null_token: str = "NA",
+    replace_parts: bool = False,
 ) -> None:
     """Write CSV (header, NULL as `null_token`) or Parquet.
 
     `row_number` puts the place in `order_by` first, in a column named `row`. `partition_by`
     writes a folder per value; rows are rebalanced by it first, so a small value is one file
-    and a value with much of the table is many.
+    and a value with much of the table is many. `replace_parts` replaces the folders of the values
+    that `df` has and leaves those of other values alone.
     """
+    if replace_parts:
+        if not partition_by:
+            raise ValueError("replace_parts needs partition_by")
+        mode = "overwrite"
     if row_number:
         names = df.columns
         numbered = with_ordinal(df, order_by, name="row")
@@ -36,6 +42,8 @@ def write_table(
     writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    if replace_parts:
+        writer = writer.option("partitionOverwriteMode", "dynamic")
     if fmt == "csv":
         writer.option("header", True).option("nullValue", null_token).option(
             "timestampNTZFormat", "yyyy-MM-dd HH:mm:ss"
