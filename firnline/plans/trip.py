@@ -65,8 +65,10 @@ def run_trip(
 
     `forms` are canonical point forms, `station` records already in the observation schema.
     `repeats` averages repeated single cores first; `template` completes plots, for the plot
-    table only. The observations feed every other table, so they are written once to the
-    checkpoint folder; `plug_default=None` leaves a missing plug missing; `stage=False` is for a caller that wants one of the tables only.
+    table only. The cleaned rows feed the single and the merged cores and the count of parts per
+    core, and the observations feed every other table, so both are written once to the checkpoint
+    folder: each form is scanned, and each rule joined, once. `plug_default=None` leaves a missing
+    plug missing; `stage=False` is for a caller that wants one of the tables only.
     """
     # As a written table its size is known, so Spark can decide to broadcast it.
     coords = write_stage(coords.select(*COORD.names))
@@ -77,6 +79,8 @@ def run_trip(
         raw = apply_corrections(raw, rules, ["plot_id", "sample_type"], "depth")
     if aliases is not None:
         raw = apply_aliases(raw, aliases, "plot_id")
+    if stage:
+        raw = write_stage(raw)
     if repeats:
         lone = F.coalesce(F.col("multi_core"), F.lit("no")) == "no"
         points = [m for m in META if m not in ("sample_type", "multi_core")]

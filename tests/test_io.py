@@ -101,8 +101,8 @@ def test_repeated_names_are_numbered(spark, write):
     assert rows_of(read_form(spark, path, mapping={"x": "A.B.1"}, repair=True)) == [("2",)]
     write("two/x.csv", "a,a\n1,2\n")
     other = write("two/y.csv", "b,a\n1,2\n")
-    with pytest.raises(ValueError, match="differ in their header"):
-        read_form(spark, other.replace("y.csv", ""))
+    with pytest.raises(Exception, match="differ in their header|does not conform"):
+        read_form(spark, other.replace("y.csv", "")).collect()
     assert numbered(["a", "a", "a.1", "a"]) == ["a", "a.2", "a.1", "a.3"]
 
 

@@ -8,8 +8,10 @@ from firnline.operators import coords, geo, reshape, rows, station, totals
 from firnline.operators.complete import complete_template, plot_template
 from firnline.operators.multipart import resolve_multipart
 from firnline.operators.summarise import summarise_plots
+from firnline.plans import trip as trip_plan
 from firnline.plans.trip import plot_table, run_trip
 from firnline.schema import COORD, OBSERVATION, PLOT_SUMMARY, table
+from firnline.staging import stage as write_stage
 from helpers import at, by_key, rows_of, unordered
 
 FORM = table(
@@ -68,6 +70,25 @@ def test_split_core_counts_once_per_part(spark):
     assert trip.plots.columns == PLOT_SUMMARY.names
 
 
+def test_each_form_is_scanned_once(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "form")
+    plot_form(spark).write.parquet(path)
+    plans = []
+
+    def staged(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write_stage(df)
+
+    monkeypatch.setattr(trip_plan, "write_stage", staged)
+    fixes = rows.literal_table(
+        spark, table("rank:int plot_id:str sample_type:str offset:dbl"), [(1, "10000", None, 1.0)]
+    )
+    out = run_trip([spark.read.parquet(path)], spark.createDataFrame([], COORD), rules=fixes)
+    plans += [t._jdf.queryExecution().executedPlan().toString() for t in (out.plots, out.daily_depth, out.daily_density)]
+    assert sum(p.count(path) for p in plans) == 1
+    assert by_key(out.plots)["10000"]["count"] == 19
+
+
 def test_observation_order_does_not_change_the_first_row(spark):
     form = plot_form(spark).repartition(5)
     plot = by_key(plot_table(run_trip([form], spark.createDataFrame([], COORD)).observations,
