@@ -39,10 +39,16 @@ def stage(df: DataFrame, compression: str = "zstd") -> DataFrame:
         df.write.option("compression", compression).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    _owned.setdefault(spark.sparkContext.applicationId, []).append((spark, path))
+    own(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def own(spark: SparkSession, path: str) -> str:
+    """Let the application delete `path` when it ends, as it does its staged tables."""
+    _owned.setdefault(spark.sparkContext.applicationId, []).append((spark, path))
+    return path
+
+
 def release(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete staged tables that are no longer read: those given, or all of this application."""
     app = spark.sparkContext.applicationId
