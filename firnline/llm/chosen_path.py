@@ -4,19 +4,21 @@ A document's set are its distinct word shingles, as 64-bit hashes; two documents
 their sets' Jaccard similarity reaches the threshold. Equal sets are one class from the start.
 
 Every class gets a sketch of minwise tokens. A tree deals all classes out by one token of the
-sketch; a node that is still large is branched again, by tokens that a hash of the node's path
-chooses, two branches per level so that similar classes stay together in at least one of them.
-Nodes that have become small are compared exhaustively: by sketch first, which drops what is far
-below the threshold, then, for what is left, on the full sets. Independent trees are repeated
-until the chance of missing a pair at the threshold is below 1 - RECALL.
-
-A node never gives all its pairs: it gives links that span what belongs together. Trees are taken
-in rounds, and a node whose classes are already connected is not compared again.
-
-A large node that a further token leaves with over half of its parent's classes holds classes that
-are much alike, and branching does not part them (nor what is left at the greatest depth). It is cut into
-blocks that share some pivots, each compared as a small node is; classes that are not connected to
-the node's largest component after that are compared with all of the node, block by block.
+sketch. A node of up to `task_node` classes is one task's: a node that is still large is branched
+again, by tokens that a hash of the node's path chooses, two branches per level so that similar
+classes stay together in at least one of them, and small nodes are compared exhaustively by sketch.
+A larger node is branched by Spark in the same way. Independent trees are repeated until the chance
+of missing a pair at the threshold is below 1 - RECALL.
+
+Branching does not part classes that are truly alike. Where the node's central sketch is near most
+of its classes, those are joined to it, and only the others are compared with all. A node of Spark's
+of which a pivot shows the same is cut into blocks that share some pivots.
+
+A node gives links that span what its sketches show alike, never all pairs. All trees' links
+together give each class one candidate group, and its full set goes once to that group, where every
+pair that is not connected yet is compared exactly. Groups with more shingles than one task may hold
+are cut into blocks that share pivots; what is outside the largest component after that is compared
+with all of the group, block by block.
 
 Defined results: a null text has no words, an empty set and no links, and neither does an empty
 one; fewer words than a shingle make one shingle of all; repeated rows are of one class; a null
@@ -44,7 +46,10 @@ from firnline.staging import release, stage
 PERCENT = 80
 TOKENS = 128  # minwise tokens of a sketch
 NODE = 400  # classes of a node that are compared exhaustively
+TASK_NODE = 20_000  # classes of a node that one task branches
+TASK_SHINGLES = 1 << 22  # shingles of a candidate group that one task compares
 DEPTH = 24
+DENSE = 0.75  # share of the central sketch's tokens from which a class is near it
 BRANCHES = 2
 RECALL = 1 - 1e-7
 #: Share of equal tokens below which a pair is not compared in full: over five standard deviations under 0.8.
@@ -55,7 +60,6 @@ _A = _rng.integers(1, 1 << 63, TOKENS, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 1 << 63, TOKENS, dtype=np.uint64)
 _WORD = [np.uint64(int(x) | 1) for x in _rng.integers(1, 1 << 63, 64, dtype=np.uint64)]
 MEMO_WORDS = 300_000
-NO_PARENT = 1 << 62  # size of what stands above a root
 
 
 def trees_for(recall: float = RECALL, percent: int = PERCENT) -> int:
@@ -166,25 +170,25 @@ def _hash(*parts: int) -> int:
 
 
 def _roots():
-    schema = _schema(tree=pa.int32(), node=_I, parent=_I, digest=_BIN)
+    schema = _schema(tree=pa.int32(), node=_I, digest=_BIN)
 
     def run(batches):
         for digest, raw in _rows(batches):
             for tree, token in enumerate(np.frombuffer(raw, "<u4").tolist()):
-                yield tree, _hash(tree, token), NO_PARENT, digest
+                yield tree, _hash(tree, token), digest
 
     return lambda batches: _batches(run(batches), schema)
 
 
 def _branched():
-    schema = _schema(tree=pa.int32(), node=_I, parent=_I, digest=_BIN)
+    schema = _schema(tree=pa.int32(), node=_I, digest=_BIN)
 
     def run(batches):
-        for tree, node, size, digest, raw in _rows(batches):
+        for tree, node, digest, raw in _rows(batches):
             tokens = np.frombuffer(raw, "<u2")
             for branch in range(BRANCHES):
                 chosen = _hash(node, branch) % TOKENS
-                yield tree, _hash(node, branch, int(tokens[chosen])), size, digest
+                yield tree, _hash(node, branch, int(tokens[chosen])), digest
 
     return lambda batches: _batches(run(batches), schema)
 
@@ -203,61 +207,112 @@ class _Union:
         self.up[self.root(j)] = self.root(i)
 
 
-def _alike(percent: int):
-    """Rows (node, tree, digest, n, sketch) sorted by node: the parts of each node that may be similar."""
-    schema = _schema(tree=pa.int32(), part=_I, digest=_BIN)
+class _Node:
+    """The classes of one node; `union` joins those that their sketches show alike."""
+
+    def __init__(self, sketches: np.ndarray, sizes: np.ndarray, percent: int, small: int):
+        self.sketches, self.sizes, self.percent, self.small = sketches, sizes, percent, small
+        self.union = _Union(len(sizes))
+        self.links: list[tuple[int, int]] = []
+
+    def _compare(self, one: int, others: np.ndarray) -> None:
+        near = (self.sketches[others] == self.sketches[one]).sum(axis=1) >= SKETCH_SHARE * TOKENS
+        low, high = np.minimum(self.sizes[others], self.sizes[one]), np.maximum(self.sizes[others], self.sizes[one])
+        for other in others[near & (100 * low >= self.percent * high)].tolist():
+            if self.union.root(one) != self.union.root(other):
+                self.union.join(one, other)
+                self.links.append((one, other))
+
+    def search(self, members: np.ndarray, path: int, depth: int) -> None:
+        if len(members) <= self.small:
+            for at in range(len(members) - 1):
+                self._compare(int(members[at]), members[at + 1 :])
+            return
+        sketches = self.sketches[members]
+        some = sketches[:: max(1, len(members) // 1000)]
+        near = (sketches == np.array([np.bincount(column).argmax() for column in some.T])).mean(axis=1)
+        if not depth or 2 * np.count_nonzero(near >= DENSE) > len(members):
+            self._dense(members, near)
+            return
+        for branch in range(BRANCHES):
+            self._branch(members, path, branch, depth)
+
+    def _branch(self, members: np.ndarray, path: int, branch: int, depth: int) -> None:
+        tokens = self.sketches[members, _hash(path, branch) % TOKENS]
+        order = np.argsort(tokens, kind="stable")
+        tokens, members = tokens[order], members[order]
+        cuts = np.flatnonzero(tokens[1:] != tokens[:-1]) + 1
+        for group, token in zip(np.split(members, cuts), tokens[np.r_[0, cuts]].tolist(), strict=True):
+            if len(group) > 1 and len({self.union.root(i) for i in group.tolist()}) > 1:
+                self.search(group, _hash(path, branch, token), depth - 1)
+
+    def _dense(self, members: np.ndarray, near: np.ndarray) -> None:
+        """The most central classes with all, then those outside the largest part with all."""
+        for one in members[np.argsort(-near, kind="stable")[:8]].tolist():
+            self._compare(one, members[members != one])
+        roots = np.array([self.union.root(i) for i in members.tolist()])
+        values, counts = np.unique(roots, return_counts=True)
+        for one in members[roots != values[counts.argmax()]].tolist():
+            self._compare(one, members[members != one])
+
+
+def _alike(percent: int, small: int, depth: int):
+    """Rows (node, digest, n, sketch) sorted by node: links that span what is alike in each node."""
+    schema = _schema(a=_BIN, b=_BIN)
 
     def run(batches):
-        for _, rows in groupby(_rows(batches), key=itemgetter(0)):
-            member = {row[2]: row for row in rows}
+        for path, rows in groupby(_rows(batches), key=itemgetter(0)):
+            member = {row[1]: row for row in rows}
             if len(member) < 2:
                 continue
-            _, trees, digests, sizes, raws = zip(*member.values())
-            sketches = np.frombuffer(b"".join(raws), "<u2").reshape(len(raws), TOKENS)
-            size = np.array(sizes, np.int64)
-            union, linked = _Union(len(raws)), False
-            for i in range(len(raws) - 1):
-                near = (sketches[i + 1 :] == sketches[i]).sum(axis=1) >= SKETCH_SHARE * TOKENS
-                low, high = np.minimum(size[i + 1 :], size[i]), np.maximum(size[i + 1 :], size[i])
-                for j in np.flatnonzero(near & (100 * low >= percent * high)):
-                    union.join(i, i + 1 + int(j))
-                    linked = True
-            if not linked:
-                continue
-            parts: dict[int, list[bytes]] = {}
-            for i, digest in enumerate(digests):
-                parts.setdefault(union.root(i), []).append(digest)
-            for part in parts.values():
-                if len(part) > 1:
-                    name = xxhash.xxh3_64_intdigest(b"".join(sorted(part))) - (1 << 63)
-                    for digest in part:
-                        yield trees[0], name, digest
+            digests = sorted(member)
+            raw = b"".join(member[d][3] for d in digests)
+            sketches = np.frombuffer(raw, "<u2").reshape(len(digests), TOKENS)
+            sizes = np.array([member[d][2] for d in digests], np.int64)
+            node = _Node(sketches, sizes, percent, small)
+            node.search(np.arange(len(digests)), path, depth)
+            for i, j in node.links:
+                yield tuple(sorted((digests[i], digests[j])))
 
     return lambda batches: _batches(run(batches), schema)
 
 
+def _links(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of similar sets that span each component. Every set outside the largest component is
+    compared with all that it is not connected to; inside it, nothing is left to find."""
+    sizes = np.array([len(s) for s in sets])
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    begin = np.cumsum(sizes) - sizes
+    mark = np.zeros(int(ids.max()) + 1, np.int32)
+    label, done = np.arange(len(sets)), np.zeros(len(sets), bool)
+    while True:
+        left = np.flatnonzero(~done & (label != np.bincount(label).argmax()))
+        if not len(left):
+            return
+        i = int(left[0])
+        done[i] = True
+        mine = ids[begin[i] : begin[i] + sizes[i]]
+        mark[mine] = 1
+        shared = np.add.reduceat(mark[ids], begin)
+        mark[mine] = 0
+        alike = 100 * shared >= percent * (sizes + sizes[i] - shared)
+        for j in np.flatnonzero(alike & (label != label[i])).tolist():
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                yield i, j
+
+
 def _confirmed(percent: int):
-    """Rows (part, digest, label, shingles) sorted by part: links that span what is similar in each part."""
+    """Rows (part, digest, shingles) sorted by part: links that span what is similar in each part."""
     schema = _schema(a=_BIN, b=_BIN)
 
     def run(batches):
         for _, rows in groupby(_rows(batches), key=itemgetter(0)):
-            rows = sorted({row[1]: row for row in rows}.values(), key=lambda row: (row[2], row[1]))
-            sets = [np.frombuffer(row[3], np.uint64) for row in rows]
-            union, first = _Union(len(rows)), {}
-            for i, row in enumerate(rows):  # those connected before need no comparing
-                union.join(first.setdefault(row[2], i), i)
-            for i in range(len(rows)):
-                for j in range(i + 1, len(rows)):
-                    if union.root(i) == union.root(j):
-                        continue
-                    low, high = sorted((len(sets[i]), len(sets[j])))
-                    if 100 * low < percent * high:
-                        continue
-                    shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if 100 * shared >= percent * (low + high - shared):
-                        union.join(i, j)
-                        yield rows[i][1], rows[j][1]
+            held = {row[1]: row[2] for row in rows}
+            digests = sorted(held)
+            sets = [np.frombuffer(held[d], np.uint64) for d in digests]
+            for i, j in _links(sets, percent):
+                yield digests[i], digests[j]
 
     return lambda batches: _batches(run(batches), schema)
 
@@ -266,115 +321,160 @@ def _gathered(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(key).sortWithinPartitions(key)
 
 
-def _terminal_nodes(classes: DataFrame, node: int, depth: int) -> tuple[list[DataFrame], DataFrame | None]:
-    """Small nodes of all levels, and large ones of classes much alike: (tree, node, digest, size)."""
-    ddl = "tree int, node long, parent long, digest binary"
+def _with_sketch(nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    return nodes.join(classes.select("digest", "n", "sketch"), "digest").select("node", "digest", "n", "sketch")
+
+
+def _alike_links(nodes: DataFrame, classes: DataFrame, percent: int, node: int, depth: int) -> DataFrame:
+    return _gathered(_with_sketch(nodes, classes), "node").mapInArrow(_alike(percent, node, depth), "a binary, b binary")
+
+
+def _near_pivot():
+    schema = _schema(node=_I, near=pa.int64())
+
+    def one(node, mine, pivot):
+        return node, int((np.frombuffer(mine, "<u2") == np.frombuffer(pivot, "<u2")).mean() >= DENSE)
+
+    return lambda batches: _batches((one(*row) for row in _rows(batches)), schema)
+
+
+def _dense_nodes(large: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of large nodes, those with most classes near a pivot of theirs."""
+    pivots = large.groupBy("node").agg(F.min_by("digest", F.xxhash64("digest", "node")).alias("digest"))
+    pivots = _with_sketch(pivots, classes).select(F.col("node").alias("_of"), F.col("sketch").alias("_pivot"))
+    member = _with_sketch(large, classes)
+    beside = member.join(pivots, F.col("node") == F.col("_of")).select("node", "sketch", "_pivot")
+    return (
+        beside.mapInArrow(_near_pivot(), "node long, near long").groupBy("node").agg(F.avg("near").alias("_share"))
+        .where("_share > 0.5").select("node")
+    )
+
+
+def _task_nodes(classes: DataFrame, task_node: int, depth: int) -> tuple[DataFrame, DataFrame | None]:
+    """Nodes that a task takes whole, and larger ones that branching does not part: (node, digest, size)."""
+    spark, ddl = classes.sparkSession, "tree int, node long, digest binary"
     level = stage(classes.select("digest", "roots").mapInArrow(_roots(), ddl))
-    small, dense = [], None
+    small, dense = [], []
     for at in range(depth + 1):
         sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        sized = stage(level.join(sizes, "node").select("tree", "node", "parent", "digest", "size"))
-        release(classes.sparkSession, level)
-        small.append(sized.where(F.col("size") <= node).select("tree", "node", "digest"))
-        large = sized.where(F.col("size") > node)
-        alike = (2 * F.col("size") > F.col("parent")) if at < depth else F.lit(True)
-        if large.limit(1).count():
-            kept = large.where(alike).drop("parent")
-            dense = kept if dense is None else dense.unionByName(kept)
-        more = large.where(~alike).drop("parent")
-        if not more.limit(1).count():
+        sized = stage(level.join(sizes, "node").select("tree", "node", "digest", "size"))
+        release(spark, level)
+        small.append(sized.where(F.col("size") <= task_node).select("node", "digest"))
+        large = sized.where(F.col("size") > task_node)
+        if not large.limit(1).count():
             break
+        if at == depth:
+            dense.append(large.drop("tree"))
+            break
+        stuck = stage(_dense_nodes(large, classes))
+        dense.append(large.join(stuck, "node", "left_semi").drop("tree"))
+        more = large.join(stuck, "node", "left_anti")
         level = stage(
-            more.join(classes.select("digest", "sketch"), "digest").select("tree", "node", "size", "digest", "sketch")
+            more.join(classes.select("digest", "sketch"), "digest").select("tree", "node", "digest", "sketch")
             .mapInArrow(_branched(), ddl)
         )
-    return small, dense if dense is not None and dense.limit(1).count() else None
+    nodes = small[0]
+    for more in small[1:]:
+        nodes = nodes.unionByName(more)
+    if not dense:
+        return nodes, None
+    left = dense[0]
+    for more in dense[1:]:
+        left = left.unionByName(more)
+    return nodes, left
 
 
-def _blocks(large: DataFrame, node: int) -> DataFrame:
-    """Large nodes as blocks of about `node` classes, half of them pivots that all blocks share."""
-    half = max(1, node // 2)
-    count = F.ceil(F.col("size") / half)
+def _blocks(large: DataFrame) -> DataFrame:
+    """Groups (node, digest, size, half) as blocks of about twice `half`, half of them pivots that all blocks share."""
+    count = F.ceil(F.col("size") / F.col("half"))
     place = F.pmod(F.xxhash64("digest"), F.lit(1 << 30))
-    pivot = place * F.col("size") < F.lit(half * (1 << 30))
+    pivot = place * F.col("size") < F.col("half") * F.lit(1 << 30)
     own = F.array(F.pmod(F.xxhash64("digest", "node"), count))
     return large.select(
-        "tree", "digest", F.col("node"),
-        F.explode(F.when(pivot, F.sequence(F.lit(0), count - 1)).otherwise(own)).alias("_block"),
-    ).select("tree", F.xxhash64("node", "_block").alias("node"), "digest")
+        "digest", "node", F.explode(F.when(pivot, F.sequence(F.lit(0), count - 1)).otherwise(own)).alias("_block")
+    ).select(F.xxhash64("node", "_block").alias("node"), "digest")
 
 
-def _stray_blocks(large: DataFrame, labels: DataFrame, node: int) -> DataFrame:
-    """Block pairs that compare what a large node has outside its largest component with all of it."""
-    half = max(1, node // 2)
+def _stray_blocks(large: DataFrame, labels: DataFrame) -> DataFrame:
+    """Block pairs that compare what a group (node, digest, half) has outside its largest component with all of it."""
     member = large.join(labels, large["digest"] == labels["v"], "left").select(
-        "tree", "node", "digest", F.coalesce("label", "digest").alias("label")
+        "node", "digest", "half", F.coalesce("label", "digest").alias("label")
     )
     by_label = member.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
-    most = by_label.groupBy("node").agg(
-        F.max(F.struct("n", "label")).alias("_most"), F.sum("n").alias("size")
+    most = by_label.groupBy("node").agg(F.max(F.struct("n", "label")).alias("_most"), F.sum("n").alias("size"))
+    most = most.select(
+        F.col("node").alias("_of"), F.col("_most.label").alias("_main"), "size", (F.col("size") - F.col("_most.n")).alias("_strays")
     )
-    most = most.select("node", F.col("_most.label").alias("_main"), "size", (F.col("size") - F.col("_most.n")).alias("_strays"))
-    member = member.join(most.where("_strays > 0"), "node").withColumns(
-        {"_members": F.ceil(F.col("size") / half), "_parts": F.ceil(F.col("_strays") / half)}
+    member = member.join(most.where("_strays > 0"), F.col("node") == F.col("_of")).withColumns(
+        {"_members": F.ceil(F.col("size") / F.col("half")), "_parts": F.ceil(F.col("_strays") / F.col("half"))}
     )
     place = F.xxhash64("digest", "node")
     own, stray = F.pmod(place, "_members"), F.pmod(place, "_parts")
     all_rows = member.select(
-        "tree", "node", "digest", own.alias("_m"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_s")
+        "node", "digest", own.alias("_m"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_s")
     )
     strays = member.where(F.col("label") != F.col("_main")).select(
-        "tree", "node", "digest", F.explode(F.sequence(F.lit(0), F.col("_members") - 1)).alias("_m"), stray.alias("_s")
+        "node", "digest", F.explode(F.sequence(F.lit(0), F.col("_members") - 1)).alias("_m"), stray.alias("_s")
     )
-    return all_rows.unionByName(strays).select("tree", F.xxhash64("node", "_m", "_s").alias("node"), "digest")
+    return all_rows.unionByName(strays).select(F.xxhash64("node", "_m", "_s").alias("node"), "digest").distinct()
 
 
-def _alike_parts(nodes: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    member = nodes.join(classes.select("digest", "n", "sketch"), "digest")
-    return _gathered(member.select("node", "tree", "digest", "n", "sketch"), "node").mapInArrow(
-        _alike(percent), "tree int, part long, digest binary"
-    )
+def _candidate_groups(classes: DataFrame, percent: int, node: int, task_node: int, depth: int) -> DataFrame:
+    """(v, label): the classes that sketches link with others, by candidate group."""
+    nodes, large = _task_nodes(classes, task_node, depth)
+    if large is not None:
+        large = large.withColumn("half", F.lit(max(1, task_node // 2)).cast("long"))
+        nodes = nodes.unionByName(_blocks(large))
+    found = stage(_alike_links(nodes, classes, percent, node, depth).distinct())
+    groups = components(found)
+    if large is not None:
+        more = stage(_alike_links(_stray_blocks(large, groups), classes, percent, node, depth).distinct())
+        groups = components(found.unionAll(more))
+    return groups
 
 
-class _Linker:
-    """Confirms parts on full sets and keeps the components found so far."""
+def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(digest, shingles) of the classes wanted, from the text of each one's representative."""
+    wanted = wanted.select("digest", F.col("rep").alias("_rep"))
+    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_rep"))).select("digest", "text")
+    return texts.mapInArrow(_sets(shingle), "digest binary, shingles binary").dropDuplicates(["digest"])
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, shingle: int, percent: int):
-        self.docs, self.classes, self.shingle, self.percent = docs, classes, shingle, percent
-        self.links: DataFrame | None = None
-        self.labels: DataFrame | None = None
 
-    def sets_of(self, parts: DataFrame) -> DataFrame:
-        wanted = parts.select("digest").distinct().join(self.classes, "digest").select("digest", F.col("rep").alias("_rep"))
-        texts = self.docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_rep"))).select("digest", "text")
-        return stage(
-            texts.mapInArrow(_sets(self.shingle), "digest binary, shingles binary").dropDuplicates(["digest"])
-        )
+def _confirm(parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    held = parts.join(sets, "digest").select("node", "digest", "shingles")
+    return _gathered(held, "node").mapInArrow(_confirmed(percent), "a binary, b binary")
 
-    def confirm(self, parts: DataFrame, sets: DataFrame) -> None:
-        if self.labels is None:
-            todo = parts.withColumn("label", F.col("digest"))
-        else:
-            labelled = parts.join(self.labels, parts["digest"] == self.labels["v"], "left").select(
-                "part", "digest", F.coalesce("label", "digest").alias("label")
-            )
-            open_parts = labelled.groupBy("part").agg((F.min("label") != F.max("label")).alias("_open")).where("_open")
-            todo = labelled.join(open_parts.select("part"), "part", "left_semi")
-        found = stage(
-            _gathered(todo.join(sets, "digest").select("part", "digest", "label", "shingles"), "part").mapInArrow(
-                _confirmed(self.percent), "a binary, b binary"
-            )
-        )
-        self.links = found if self.links is None else self.links.unionAll(found)
-        self.labels = components(self.links)
+
+def _exact_labels(groups: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int, percent: int, task_shingles: int) -> DataFrame:
+    """(v, label) of the classes that have a link on their full sets."""
+    member = groups.select(F.col("v").alias("digest"), F.col("label").alias("_group")).join(
+        classes.select("digest", "rep", "n"), "digest"
+    )
+    totals = member.groupBy(F.col("_group").alias("_of")).agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("_all"))
+    member = stage(
+        member.join(totals, F.col("_group") == F.col("_of")).select(F.xxhash64("_group").alias("node"), "digest", "rep", "n", "size", "_all")
+    )
+    sets = stage(_sets_of(docs, member, shingle))
+    fits = F.col("_all") <= task_shingles
+    links = stage(_confirm(member.where(fits).select("node", "digest"), sets, percent))
+    large = member.where(~fits)
+    if large.limit(1).count():
+        # A block holds the shingles of one task at the group's mean size.
+        half = F.floor(F.lit(task_shingles) * F.col("size") / (2 * F.col("_all")))
+        large = large.select("node", "digest", "size", F.greatest(F.lit(1).cast("long"), half).alias("half"))
+        links = links.unionAll(stage(_confirm(_blocks(large), sets, percent)))
+        links = links.unionAll(stage(_confirm(_stray_blocks(large, components(links)), sets, percent)))
+    labels = components(links)
+    release(member.sparkSession, member, sets)
+    return labels
 
 
 def near_groups(
     df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, percent: int = PERCENT,
-    recall: float = RECALL, node: int = NODE, depth: int = DEPTH,
+    recall: float = RECALL, node: int = NODE, depth: int = DEPTH, task_node: int = TASK_NODE,
+    task_shingles: int = TASK_SHINGLES,
 ) -> DataFrame:
     """One row per row of `df`: doc_id, n_shingles, component_id, kept."""
-    spark = df.sparkSession
     trees = trees_for(recall, percent)
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = stage(
@@ -386,23 +486,10 @@ def near_groups(
             F.first("roots").alias("roots"), F.first("sketch").alias("sketch"),
         )
     )
-    small, large = _terminal_nodes(classes, node, depth)
-    nodes = small[0]
-    for more in [*small[1:], *([_blocks(large, node)] if large is not None else [])]:
-        nodes = nodes.unionByName(more)
-    parts = stage(_alike_parts(nodes, classes, percent))
-    linker = _Linker(docs, classes, shingle, percent)
-    sets = linker.sets_of(parts)
-    edges = [0, 2, 5, trees]
-    for low, high in zip(edges, edges[1:]):
-        mine = parts.where((F.col("tree") >= low) & (F.col("tree") < high)).select("part", "digest").distinct()
-        linker.confirm(mine, sets)
-    if large is not None:
-        strays = stage(_alike_parts(_stray_blocks(large, linker.labels, node), classes, percent))
-        linker.confirm(strays.select("part", "digest").distinct(), linker.sets_of(strays))
-    release(spark, sets, parts)
+    groups = _candidate_groups(classes, percent, node, task_node, depth)
+    labels = _exact_labels(groups, docs, classes, shingle, percent, task_shingles)
     labelled = classes.select("digest", "rep").join(
-        linker.labels.withColumnRenamed("v", "digest"), "digest", "left"
+        labels.withColumnRenamed("v", "digest"), "digest", "left"
     ).select("digest", "rep", F.coalesce("label", "digest").alias("label"))
     lowest = labelled.groupBy("label").agg(F.min("rep").alias("lowest"))
     of_class = stage(labelled.join(lowest, "label").select(F.col("digest").alias("_class"), "lowest"))
