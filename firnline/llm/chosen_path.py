@@ -434,8 +434,11 @@ def _candidate_groups(classes: DataFrame, percent: int, node: int, task_node: in
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(digest, shingles) of the classes wanted, from the text of each one's representative."""
-    wanted = wanted.select("digest", F.col("rep").alias("_rep"))
+    """(digest, shingles) of the classes wanted, from the text of each one's representative.
+
+    The join is by shuffle at every size: how many are wanted grows with the documents.
+    """
+    wanted = wanted.select("digest", F.col("rep").alias("_rep")).hint("merge")
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_rep"))).select("digest", "text")
     return texts.mapInArrow(_sets(shingle), "digest binary, shingles binary").dropDuplicates(["digest"])
 
