@@ -36,6 +36,7 @@ from firnline.llm.words import squeezed, table
 from firnline.staging import stage
 
 TABLE_BYTES = 64 << 20
+SLOT_BYTES, RECORD_BYTES = 450, 16  # what a content and a record take in Python beside the content itself
 BUCKET_BYTES = 64 << 20
 HOT_ROWS = 1000
 HOT_BYTES = 16 << 20
@@ -66,7 +67,7 @@ def settle(records: Iterable[Record], table_bytes: int, folder: str, depth: int
         doc_id, rows, h, hot, content = record
         slot = table.get(content)
         if slot is None:
-            if table and held + len(content) > table_bytes:
+            if table and held + len(content) + SLOT_BYTES > table_bytes:
                 if spills is None:
                     spills = [tempfile.TemporaryFile(dir=folder) for _ in range(FAN_OUT)]
                 part = spills[_digit(h, depth)]
@@ -74,7 +75,8 @@ def settle(records: Iterable[Record], table_bytes: int, folder: str, depth: int
                 part.write(content)
                 continue
             slot = table[content] = _Slot(h, hot)
-            held += len(content)
+            held += len(content) + SLOT_BYTES
+        held += RECORD_BYTES
         slot.ids.append(doc_id)
         slot.rows.append(rows)
     yield from table.items()

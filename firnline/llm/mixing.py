@@ -6,7 +6,7 @@ document's size: rate = min(cap, exp(lambda * size / mean size)), with one multi
 The multipliers minimise a convex dual, one term per document, solved by Newton iterations whose
 gradient and curvature are sums over all documents, computed by Spark. Rates become whole copies:
 floor(rate) copies, and one more for the documents that come first by a hash until the source's
-words are met.
+words are met; what the next document is too long for goes to later ones that still fit.
 
 Everything is built-in expressions. A hot source is only ever summed with partial aggregation:
 documents enter the iterations as counts per (source, size), which is all a rate depends on. The
@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from firnline.llm.words import n_words_of, table
+from firnline.operators.rows import with_ordinal
 from firnline.staging import release, stage
 
 CAP = 3
@@ -33,6 +34,8 @@ TOLERANCE = 1e-9
 MAX_NEWTON = 60
 # Rounding: bins of one pass, and passes; 1024 ** 3 places in all.
 BINS, PASSES = 1024, 3
+# Rounds of giving what is left to documents that still fit.
+ROUNDS = 3
 
 
 def sized(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -55,9 +58,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap:
     above cap times its source is cut to that, and what is cut is shared again by weight among the
     others, until none is above.
     """
-    rank = F.row_number().over(Window.orderBy("_key")) - 1  # one row per source
-    weight = F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int"))
-    ranked = stage(sizes.withColumn("_weight", weight))
+    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("_rank") - 1) % len(weights) + 1).cast("int"))
+    ranked = stage(with_ordinal(sizes, ["_key"], name="_rank").withColumn("_weight", weight).drop("_rank"))
     most = cap * F.col("source_size")
     total = ranked.agg(F.sum("source_size")).first()[0] or 0
     share = 0.0
@@ -86,7 +88,7 @@ def solve(counts: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFrame:
 
     `counts` has _key, size, _n. Every pass sums the dual's gradient and curvature of all sources
     over all documents; a step that would leave the bracket of the root is replaced by halving it.
-    Sources whose target is 0 or the cap keep no multiplier.
+    Sources whose target is 0 or the cap keep no multiplier. A source that does not settle is an error.
     """
     n = F.col("_n")
     mean = counts.groupBy("_key").agg((F.sum(F.col("size") * n) / F.sum(n)).alias("_mean"))
@@ -136,6 +138,9 @@ def solve(counts: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFrame:
         release(before.sparkSession, before)
         if not state.where("_open").limit(1).count():
             break
+    else:
+        names = [r._key[1:] for r in state.where("_open").limit(5).collect()]
+        raise ArithmeticError(f"sources that did not settle in {MAX_NEWTON} passes: {names}")
     # Six decimals, so that the last bits of a sum, which depend on its order, decide nothing.
     return state.select(
         "_key", "source", "source_size", "target", F.round("_mean", 6).alias("_mean"), F.round("_lambda", 6).alias("_lambda")
@@ -158,25 +163,20 @@ def _place() -> Column:
     return uniform - (F.col("_rate") - F.floor("_rate"))
 
 
-def round_up_edges(rated: DataFrame, params: DataFrame, cap: int = CAP) -> DataFrame:
-    """Adds `_edge`: per source, the bin of `_place` up to which documents get one copy more.
+def _bin(level: int) -> Column:
+    return F.floor((F.col("_place") + 1) / 2 * BINS**level).cast("long")
+
+
+def _edges(movable: DataFrame, left: DataFrame) -> DataFrame:
+    """Per source: the bin of `_place` below which all of `movable` fits into `_left` words, and what is left then.
 
     The bin is found by narrowing: each pass sums the sizes per (source, bin) of the bin found
     before, so a pass never holds more than `BINS` rows of a source.
     """
-    movable = rated.where(F.col("_rate") > F.floor("_rate"))
-    base = rated.groupBy("_key").agg(F.sum(F.col("size") * F.floor("_rate")).alias("_whole"))
-    found = stage(
-        params.join(base, "_key", "left").select(
-            "_key", (F.col("target") - F.coalesce("_whole", F.lit(0))).alias("_left"),
-            F.lit(0).cast("long").alias("_edge"),
-        )
-    )
+    found = stage(left.select("_key", "_left", F.lit(0).cast("long").alias("_edge")))
     for level in range(1, PASSES + 1):
-        bins = BINS**level
-        place = F.floor((F.col("_place") + 1) / 2 * bins).cast("long")
         part = (
-            movable.withColumn("_bin", place)
+            movable.withColumn("_bin", _bin(level))
             .join(found.select("_key", "_edge"), "_key")
             .where(F.floor(F.col("_bin") / BINS) == F.col("_edge"))
             .groupBy("_key", "_bin")
@@ -192,24 +192,66 @@ def round_up_edges(rated: DataFrame, params: DataFrame, cap: int = CAP) -> DataF
                 F.max(F.when(F.col("_through") <= F.col("_left"), F.col("_bin"))).alias("_fits"),
                 F.max(F.when(F.col("_through") <= F.col("_left"), F.col("_through"))).alias("_spent"),
                 F.min(F.when(F.col("_through") > F.col("_left"), F.col("_bin"))).alias("_next"),
-                F.min(F.when(F.col("_through") > F.col("_left"), F.col("_through"))).alias("_over"),
             )
         )
-        left = F.col("_left") - F.coalesce("_spent", F.lit(0))
-        if level < PASSES:
-            edge = F.coalesce(F.col("_next"), F.col("_fits") + 1, F.col("_edge") * BINS)
-        else:  # the last bin is taken if that comes nearer to the target
-            nearer = F.col("_over") - F.col("_left") < left
-            edge = F.coalesce(
-                F.when(nearer, F.col("_next") + 1).otherwise(F.col("_next")),
-                F.col("_fits") + 1, F.col("_edge") * BINS,
-            )
+        rest = F.col("_left") - F.coalesce("_spent", F.lit(0))
+        edge = F.coalesce(F.col("_next"), F.col("_fits") + 1, F.col("_edge") * BINS)
         before = found
-        found = stage(
-            before.join(crossed, "_key", "left").select("_key", left.alias("_left"), edge.alias("_edge"))
+        found = stage(before.join(crossed, "_key", "left").select("_key", rest.alias("_left"), edge.alias("_edge")))
+        release(before.sparkSession, before)
+    return found
+
+
+def round_up_edges(rated: DataFrame, params: DataFrame, cap: int = CAP) -> DataFrame:
+    """Adds `_edges`: per source, ranges of sizes and of bins of `_place`. Documents in both get one copy more.
+
+    The first range has all sizes. What the document at its edge is too long for goes to later
+    documents that still fit, and so on for ROUNDS rounds. In the end the one document is added
+    that brings the source nearest to its target, if any does.
+    """
+    movable = rated.where(F.col("_rate") > F.floor("_rate"))
+    base = rated.groupBy("_key").agg(F.sum(F.col("size") * F.floor("_rate")).alias("_whole"))
+    state = stage(
+        params.join(base, "_key", "left").select(
+            "_key", (F.col("target") - F.coalesce("_whole", F.lit(0))).alias("_left"),
+            F.array().cast("array<struct<low:double,high:double,start:bigint,edge:bigint>>").alias("_edges"),
         )
+    )
+    endless = F.lit(float("inf"))
+
+    def add(found: DataFrame, low: Column, high: Column, start: Column) -> DataFrame:
+        """`found` has _k, _rest and _edge."""
+        one = F.struct(
+            low.cast("double").alias("low"), high.cast("double").alias("high"), start.cast("long").alias("start"), F.col("_edge").alias("edge")
+        )
+        more = F.when(F.col("_k").isNotNull(), F.array_append("_edges", one)).otherwise(F.col("_edges"))
+        added = state.join(found, F.col("_key") == F.col("_k"), "left")
+        return stage(added.select("_key", F.coalesce("_rest", "_left").alias("_left"), more.alias("_edges")))
+
+    for turn in range(ROUNDS):
+        limit = F.col("_left") if turn else endless
+        waiting = movable.join(state, "_key").where((F.col("size") <= limit) & ~_more()).select("_key", "size", "_place")
+        found = _edges(waiting, state)
+        before, state = state, add(found.select(F.col("_key").alias("_k"), F.col("_left").alias("_rest"), "_edge"), F.lit(0), limit, F.lit(0))
         release(before.sparkSession, before)
-    return params.join(found.select("_key", "_edge"), "_key", "left")
+    # Rows of one size in one bin are taken together, as repeated rows must be.
+    waiting = movable.join(state, "_key").where((F.col("size") < 2 * F.col("_left")) & ~_more())
+    together = waiting.groupBy("_key", "_left", "size", _bin(PASSES).alias("_bin")).agg(F.sum("size").alias("_sum"))
+    off = F.abs(F.col("_sum") - F.col("_left"))
+    best = together.where(off < F.col("_left")).groupBy(F.col("_key").alias("_k")).agg(
+        F.min(F.struct(off.alias("off"), "_bin", "size", (F.col("_left") - F.col("_sum")).alias("rest"))).alias("_best")
+    )
+    best = best.select("_k", F.col("_best.rest").alias("_rest"), (F.col("_best._bin") + 1).alias("_edge"), F.col("_best.size").alias("_size"))
+    before, state = state, add(best, F.col("_size"), F.col("_size"), F.col("_edge") - 1)
+    release(before.sparkSession, before)
+    return params.join(state.select("_key", "_edges"), "_key", "left")
+
+
+def _more() -> Column:
+    """Whether a document gets one copy more than its rate has whole ones."""
+    return F.exists(
+        "_edges", lambda e: F.col("size").between(e["low"], e["high"]) & _bin(PASSES).between(e["start"], e["edge"] - 1)
+    )
 
 
 def _rated(docs: DataFrame, params: DataFrame, cap: int) -> DataFrame:
@@ -230,13 +272,12 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = C
 
 def with_copies(docs: DataFrame, plan: DataFrame, cap: int = CAP) -> DataFrame:
     """Adds source_size, target, rate and copies to `docs` (doc_id, source, size, _key and others)."""
-    more = F.floor((F.col("_place") + 1) / 2 * BINS**PASSES) < F.col("_edge")
-    copies = F.floor("_rate") + F.when((F.col("_rate") > F.floor("_rate")) & more, 1).otherwise(0)
+    copies = F.floor("_rate") + F.when((F.col("_rate") > F.floor("_rate")) & _more(), 1).otherwise(0)
     return (
         _rated(docs, plan.drop("source"), cap)
         .withColumn("copies", copies.cast("long"))
         .withColumnRenamed("_rate", "rate")
-        .drop("_place", "_edge", "_mean", "_lambda")
+        .drop("_place", "_edges", "_mean", "_lambda")
     )
 
 
