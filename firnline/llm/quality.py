@@ -10,6 +10,7 @@ extra columns are kept, whatever their names. Texts of any length are judged who
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,46 +59,75 @@ MAX_REPEAT_PERCENT = 50
 _METRICS = "word_chars n_symbols n_stop_words n_lines n_dup_lines n_ellipsis_lines n_bullet_lines n_repeat_words"
 
 
-def _repeat_steps(df: DataFrame, window: int) -> DataFrame:
-    """Adds n_repeat_words: words in windows of `window` words found twice or more in the text.
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of `value`, evaluated once however often `body` names it.
+
+    A column of an inner projection is not that: when a filter is pushed through the projection,
+    its definition takes the place of every mention, those inside lambdas included.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def repeat_words(words: Column, window: int) -> Column:
+    """Number of words in windows of `window` words found twice or more in the text.
 
     Each window is one 64-bit number, its hash in the high bits and its place in the low ones, so
     that one sort of plain numbers brings equal windows together. Neighbours with equal hashes
     count only if their words are equal.
     """
-    at = ", ".join(f"get(_words, i + {j})" for j in range(1, window))
-    same_words = " AND ".join(
-        f"_words[cast(_sorted[i] & _mask as int) + {j}] = _words[cast(_sorted[i + 1] & _mask as int) + {j}]"
-        for j in range(window)
-    )
-    return (
-        df.withColumn("_bits", F.expr("length(bin(n_words))"))
-        .withColumn("_mask", F.expr("shiftleft(1L, _bits) - 1"))
-        .withColumn(
-            "_sorted",
-            F.expr(
-                f"CASE WHEN n_words >= {window} THEN sort_array(transform(slice(_words, 1, cast(n_words as int) - {window - 1}), "
-                f"(w, i) -> shiftleft(xxhash64(w, {at}), _bits) | cast(i as bigint))) "
-                "ELSE cast(array() as array<bigint>) END"
-            ),
-        )
-        .withColumn(
-            "_twins",  # i where the windows in places i and i + 1 of the sorted array are equal
-            F.expr(
-                "CASE WHEN size(_sorted) >= 2 THEN filter(sequence(0, size(_sorted) - 2), "
-                f"i -> _sorted[i + 1] <= (_sorted[i] | _mask) AND {same_words}) ELSE cast(array() as array<int>) END"
-            ),
-        )
-        .withColumn(
-            "n_repeat_words",
-            F.expr(
-                "aggregate(sort_array(transform(array_union(_twins, transform(_twins, i -> i + 1)), i -> _sorted[i] & _mask)), "
-                f"named_struct('last', cast(-{window} as bigint), 'total', cast(0 as bigint)), "
-                f"(acc, p) -> named_struct('last', p, 'total', acc.total + least(cast({window} as bigint), p - acc.last)), "
-                "acc -> acc.total)"
+
+    def of_words(w: Column) -> Column:
+        count = F.size(w)
+        return bound(
+            F.struct(w.alias("words"), F.length(F.bin(count.cast("long"))).alias("bits")),
+            lambda s: bound(
+                F.struct(s["words"].alias("words"), s["bits"].alias("bits"),
+                         (F.call_function("shiftleft", F.lit(1).cast("long"), s["bits"]) - 1).alias("mask")),
+                of_bits,
             ),
+        )
+
+    def of_bits(s: Column) -> Column:
+        w, mask = s["words"], s["mask"]
+
+        def code(_: Column, i: Column) -> Column:
+            hashed = F.xxhash64(*[F.get(w, i + j) for j in range(window)])
+            # hash * 2^bits, wrapped round as a shift is
+            return F.call_function("shiftleft", hashed, s["bits"]).bitwiseOR(i.cast("long"))
+
+        starts = F.slice(w, 1, F.size(w) - (window - 1))
+        codes = F.when(F.size(w) >= window, F.sort_array(F.transform(starts, code))).otherwise(
+            F.array().cast("array<bigint>")
         )
-    )
+        return bound(codes, lambda c: bound(twins(w, mask, c), lambda t: covered(t, mask, c)))
+
+    def twins(w: Column, mask: Column, codes: Column) -> Column:
+        """i where the windows in places i and i + 1 of the sorted codes are equal."""
+
+        def place(i: Column) -> Column:
+            return F.get(codes, i).bitwiseAND(mask).cast("int")
+
+        def equal(i: Column) -> Column:
+            same = F.get(codes, i + 1) <= F.get(codes, i).bitwiseOR(mask)
+            for j in range(window):
+                same = same & (F.get(w, place(i) + j) == F.get(w, place(i + 1) + j))
+            return same
+
+        pairs = F.filter(F.sequence(F.lit(0), F.size(codes) - 2), equal)
+        return F.when(F.size(codes) >= 2, pairs).otherwise(F.array().cast("array<int>"))
+
+    def covered(twin: Column, mask: Column, codes: Column) -> Column:
+        both = F.array_union(twin, F.transform(twin, lambda i: i + 1))
+        places = F.sort_array(F.transform(both, lambda i: F.get(codes, i).bitwiseAND(mask)))
+        none = F.struct(F.lit(-window).cast("long").alias("last"), F.lit(0).cast("long").alias("total"))
+
+        def add(acc: Column, p: Column) -> Column:
+            more = F.least(F.lit(window).cast("long"), p - acc["last"])
+            return F.struct(p.alias("last"), (acc["total"] + more).alias("total"))
+
+        return F.aggregate(places, none, add, lambda acc: acc["total"])
+
+    return bound(words, of_words)
 
 
 def trails_off(line: Column) -> Column:
@@ -130,32 +160,36 @@ def measure(df: DataFrame, text: str = "text", window: int = 3) -> DataFrame:
             }
         )
     )
-    return _repeat_steps(metrics, window).select(
+    return metrics.withColumn("n_repeat_words", repeat_words(F.col("_words"), window)).select(
         "_row", "n_words", *(F.col(m).cast("long").alias(m) for m in _METRICS.split())
     )
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < MIN_WORDS) | (
-        100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
+def base_failed(metric: Callable[[str], Column] = F.col) -> Column:
+    return (metric("n_words") < MIN_WORDS) | (
+        100 * metric("n_repeat_words") > MAX_REPEAT_PERCENT * metric("n_words")
     )
 
 
-def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
+def verdict(rules: tuple[Rule, ...] = RULES, metric: Callable[[str], Column] = F.col) -> Column:
     """All rules of the table as one boolean expression."""
     passed = F.lit(True)
     for rule in rules:
-        value = 100 * F.col(rule.metric)
+        value = 100 * metric(rule.metric)
         if rule.low is not None:
-            passed = passed & (value >= rule.low * F.col(rule.per))
+            passed = passed & (value >= rule.low * metric(rule.per))
         if rule.high is not None:
-            passed = passed & (value <= rule.high * F.col(rule.per))
+            passed = passed & (value <= rule.high * metric(rule.per))
     return passed
 
 
 def quality_rules(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of `df` that pass, with its columns."""
-    return measure(df, text).where(~base_failed() & verdict(rules)).select("_row.*")
+    passed = bound(
+        F.struct("n_words", *_METRICS.split()),
+        lambda m: ~base_failed(m.getField) & verdict(rules, m.getField),
+    )
+    return measure(df, text).where(passed).select("_row.*")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
