@@ -7,8 +7,8 @@ a. Two texts draw the same pair with a probability of sum(min(w, w')) / sum(max(
 generalised Jaccard similarity, so the share of equal samples estimates it.
 
 The uniform b cuts the gamma number r into two independent exponential ones, r * b = -ln u and
-r * (1 - b) = -ln v. So t = floor((ln w - ln u) / r) and a = c * v * (u * v) ** t, and a term that
-occurs once has t = 0 and a = c * v, which takes a single logarithm.
+r * (1 - b) = -ln v. So t = floor((ln w - ln u) / r) and a = c * v * (u * v) ** t. While w * v is below
+1, as for every term that occurs once, t is 0 and a = c * v, which takes a single logarithm.
 
 A sample is one whole number, a in the high bits and a hash of (i, t) in the low ones, so that a
 text's fingerprint is one hash aggregation with a `min` per sample; texts are dealt out by a row
@@ -22,6 +22,8 @@ empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,25 +37,27 @@ _U = 21  # bits of a uniform draw
 _A_BITS = 40  # binary places of a, which is below 2 ** 6
 
 
-def _uniform(h: Column, draw: int) -> Column:
-    """The draw-th of three uniform numbers in a 64-bit hash, neither 0 nor 1."""
-    bits = F.shiftrightunsigned(h, _U * draw).bitwiseAND(F.lit((1 << _U) - 1))
-    return (bits + F.lit(0.5)) * F.lit(2.0**-_U)
+def _draw(h: Column, which: int) -> Column:
+    """The first, second or third uniform draw in a 64-bit hash: an odd number below 2 ** _U."""
+    return F.shiftrightunsigned(h, _U * which).bitwiseAND(F.lit((1 << _U) - 1)).bitwiseOR(F.lit(1).cast("long"))
 
 
 def _sample(term: Column, weight: Column, k: int) -> Column:
     """What sample k sees of a term: the least is drawn."""
     first = F.xxhash64(term, F.lit(k))
+    v = _draw(first, 0)
+    c = F.lit(2 * _U * math.log(2)) - F.log(_draw(first, 1) * _draw(first, 2))
+    # ln w + r * b reaches r where w * v reaches 1: only there t is above 0, and takes logarithms and a further draw.
+    none = weight * v < F.lit(1 << _U)
     second = F.xxhash64(first)
-    u, v = _uniform(first, 0), _uniform(first, 1)
-    c = -F.log(_uniform(first, 2) * _uniform(second, 0))
-    # Only a repeated term can have t > 0, and e ** -(r * t) is (u * v) ** t.
-    t = F.floor((F.log(weight) - F.log(u)) / -F.log(u * v))
-    a = F.when(weight == 1, c * v).otherwise(c * v * F.pow(u * v, t))
-    drawn = F.when((weight == 1) | (t == 0), second).otherwise(F.xxhash64(second, t))
-    return F.shiftleft(F.floor(a * F.lit(2.0**_A_BITS)), BITS).bitwiseOR(
-        F.shiftrightunsigned(drawn, 64 - BITS)
-    )
+    u, share = _draw(second, 0) * F.lit(2.0**-_U), v * F.lit(2.0**-_U)
+    t = F.greatest(F.lit(1).cast("long"), F.floor((F.log(weight) - F.log(u)) / -F.log(u * share)))
+    # e ** -(r * t) is (u * v) ** t
+    a = F.when(none, c * v).otherwise(c * v * F.pow(u * share, t))
+    # The low bits of all draws together tell the term; the high ones are small in what is drawn.
+    folded = first.bitwiseXOR(F.shiftrightunsigned(first, _U)).bitwiseXOR(F.shiftrightunsigned(first, 2 * _U))
+    drawn = F.when(none, folded).otherwise(F.xxhash64(second, t)).bitwiseAND(F.lit((1 << BITS) - 1))
+    return F.shiftleft(F.floor(a * F.lit(2.0 ** (_A_BITS - _U))), BITS).bitwiseOR(drawn)
 
 
 def _weighted_terms(dealt: DataFrame, row: str, text: str) -> DataFrame:

@@ -38,8 +38,8 @@ def plain(text, samples):
     def hashed(value, seed=42):
         return xxhash.xxh64_intdigest((value & (1 << 64) - 1).to_bytes(8, "little"), seed)
 
-    def uniform(h, draw):
-        return (((h >> 21 * draw) & (1 << 21) - 1) + 0.5) * 2.0**-21
+    def draw(h, which):
+        return ((h >> 21 * which) & (1 << 21) - 1) | 1
 
     out = []
     for k in range(samples):
@@ -48,12 +48,13 @@ def plain(text, samples):
             term = xxhash.xxh64_intdigest(word.encode(), 42)
             first = xxhash.xxh64_intdigest(k.to_bytes(4, "little"), hashed(term))
             second = hashed(first)
-            u, v = uniform(first, 0), uniform(first, 1)
-            c = -math.log(uniform(first, 2) * uniform(second, 0))
-            t = math.floor((math.log(w) - math.log(u)) / -math.log(u * v))
-            drawn = hashed(t, hashed(second)) if t else second
-            a = math.floor(c * v * (u * v) ** t * 2.0**40)
-            code = (a << 16) | (drawn >> 48)
+            u, v = draw(second, 0) * 2.0**-21, draw(first, 0)
+            c = 42 * math.log(2) - math.log(draw(first, 1) * draw(first, 2))
+            share = v * 2.0**-21
+            t = max(1, math.floor((math.log(w) - math.log(u)) / -math.log(u * share))) if w * v >= 1 << 21 else 0
+            drawn = hashed(t, hashed(second)) if t else first ^ (first >> 21) ^ (first >> 42)
+            a = math.floor(c * v * (u * share) ** t * 2.0**19)
+            code = (a << 16) | (drawn & 0xFFFF)
             best = code if best is None else min(best, code)
         out.append(f"{best & 0xFFFF:04x}")
     return "".join(out)

@@ -1,7 +1,9 @@
 """Every operator on an awkward table, beside brute force, and on empty tables."""
 
 import hashlib
+import random
 import sys
+import time
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -75,7 +77,17 @@ def test_spilled_buckets_settle_everything(tmp_path):
     assert len(found) == 90 and all(len(slot.ids) == 10 for _, slot in found)
 
 
-@pytest.mark.parametrize("settings", [{}, {"node": 2, "depth": 1}])
+def test_metrics_are_bound_once_under_a_filter(docs, rows):
+    """A filter is pushed through the projections of the metrics; what they use twice must not be inlined."""
+    start = time.perf_counter()
+    got = quality.measure(docs).where("n_repeat_words > 5 AND n_words > 3").select("_row.doc_id").collect()
+    assert bag(got) == bag((i,) for i, t, _ in rows if brute.repeat_words(t) > 5 and len(brute.words(t)) > 3)
+    assert time.perf_counter() - start < 60
+
+
+@pytest.mark.parametrize("settings", [
+    {}, {"node": 2, "depth": 1}, {"node": 2, "depth": 1, "task_node": 3, "task_shingles": 300}, {"task_node": 2, "task_shingles": 1},
+])
 def test_near_groups(docs, rows, empty, settings):
     got = chosen_path.near_groups(docs, **settings)
     assert bag(got.select("doc_id", "n_shingles", "component_id").collect()) == bag(
@@ -89,8 +101,45 @@ def test_near_groups_with_large_nodes(spark):
     base = brute.sentence(1, 200).split()
     rows = [(i, " ".join([*base[: 3 * i], f"x{i}", *base[3 * i + 1 :]]), "a") for i in range(40)]
     rows += [(100 + i, " ".join(base[: 180 - 12 * i]), "a") for i in range(8)]
-    got = chosen_path.near_groups(brute.frame(spark, rows), node=6, depth=2)
-    assert bag(got.select("doc_id", "n_shingles", "component_id").collect()) == bag(brute.near(rows))
+    for settings in ({}, {"task_node": 10}, {"task_node": 10, "task_shingles": 2000}):
+        got = chosen_path.near_groups(brute.frame(spark, rows), node=6, depth=2, **settings)
+        assert bag(got.select("doc_id", "n_shingles", "component_id").collect()) == bag(brute.near(rows))
+
+
+def test_nodes_of_one_common_passage_are_branched():
+    """Texts that share a passage but are not alike: a node of them is parted, not compared whole."""
+    rng = np.random.default_rng(3)
+    passage = rng.integers(0, 1 << 62, 60, dtype=np.uint64)
+    sets = [np.unique(np.r_[passage, rng.integers(0, 1 << 62, 120, dtype=np.uint64)]) for _ in range(600)]
+    sets += [np.unique(np.r_[s[:-3], rng.integers(0, 1 << 62, 3, dtype=np.uint64)]) for s in sets[:30]]
+    sketches = np.array([chosen_path.sketch(s) for s in sets]).astype("<u2")
+    compared = []
+    node = chosen_path._Node(sketches, np.array([len(s) for s in sets]), 80, 50)
+    compare = node._compare
+    node._compare = lambda one, others: (compared.append(len(others)), compare(one, others))
+    for path in range(8):
+        node.search(np.arange(len(sets)), path, 10)
+    assert {tuple(sorted(link)) for link in node.links} == {(i, 600 + i) for i in range(30)}
+    assert sum(compared) < 8 * 630 * 629 / 2 / 3
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_links_span_the_components(seed):
+    rng = np.random.default_rng(seed)
+    words = rng.integers(0, 1 << 62, 40, dtype=np.uint64)
+    sets = [np.unique(rng.choice(words, int(rng.integers(25, 40)), replace=False)) for _ in range(40)]
+    up = chosen_path._Union(len(sets))
+    for i in range(len(sets)):
+        for j in range(i):
+            shared = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * shared >= 80 * (len(sets[i]) + len(sets[j]) - shared):
+                up.join(i, j)
+    found = chosen_path._Union(len(sets))
+    links = list(chosen_path._links(sets, 80))
+    for i, j in links:
+        found.join(i, j)
+    groups = lambda u: Counter(frozenset(k for k in range(40) if u.root(k) == u.root(i)) for i in range(40))
+    assert groups(found) == groups(up) and len(links) == 40 - len(groups(up))
 
 
 def test_near_dedup_keeps_columns(docs):
@@ -164,6 +213,38 @@ def test_mix_meets_targets(docs, rows, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_multipliers_beside_plain_bisection(spark):
+    """The dual's solution beside bisection on the words taken, and every document's copies beside the rates."""
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join(["w"] * int(n)), "abcdefg"[i % 7]) for i, n in enumerate(rng.zipf(1.4, 700) % 400)]
+    plan_docs = mixing._with_key(mixing.sized(spark.createDataFrame(rows, "doc_id long, text string, source string")))
+    plan = mixing.mix_plan(plan_docs)
+    params = {r.source: r for r in plan.collect()}
+    got = mixing.with_copies(plan_docs, plan).collect()
+    sizes = {s: np.array([len(t.split()) for _, t, x in rows if x == s], float) for s in "abcdefg"}
+    for source, z in sizes.items():
+        p, mean = params[source], z.mean()
+        if not 0 < p.target < 3 * z.sum():
+            continue
+        low, high = -200.0, 200.0
+        for _ in range(200):
+            middle = (low + high) / 2
+            taken = (z * np.minimum(3, np.exp(np.minimum(50, middle * z / mean)))).sum()
+            low, high = (middle, high) if taken < p.target else (low, middle)
+        rates = np.minimum(3, np.exp(np.minimum(50, low * z / mean)))
+        mine = np.minimum(3, np.exp(np.minimum(50, p._lambda * z / p._mean)))
+        assert np.abs(mine - rates).max() < 1e-3
+    taken = Counter()
+    for r in got:
+        assert np.floor(r.rate) <= r.copies <= np.floor(r.rate) + 1
+        taken[r.source] += r.copies * r.size
+    for source, p in params.items():
+        left = [r.size for r in got if r.source == source and 0 < r.size and r.copies == np.floor(r.rate) < r.rate]
+        # No document that is left out would bring the source nearer to its target.
+        assert all(abs(taken[source] + n - p.target) >= abs(taken[source] - p.target) - 1e-6 for n in left)
+
+
+
 def test_targets_are_shared_again(spark):
     sizes = spark.createDataFrame([("0a", "a", 10), ("0b", "b", 100), ("0c", "c", 1000), ("0d", "d", 5)], "_key string, source string, source_size long")
     got = {r.source: r.target for r in mixing.source_targets(sizes).collect()}
@@ -230,7 +311,6 @@ def test_token_files(spark, docs, rows, empty, tmp_path):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(rans.vocabulary())
-    library.encode_special_tokens = True
     rans.write_tokens(docs, f"{tmp_path}/t", rans.vocabulary(), block=100)
     got = rans.read_tokens(spark, f"{tmp_path}/t").collect()
     want = [(i, [*library.encode(t or "", add_special_tokens=False).ids, 2]) for i, t, _ in rows]
@@ -245,6 +325,25 @@ def test_token_files(spark, docs, rows, empty, tmp_path):
     assert rans.read_tokens(spark, f"{tmp_path}/e").count() == 0
 
 
+def test_words_take_the_ids_of_the_library():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(rans.vocabulary())
+    rng = random.Random(5)
+    plain = ["a", "B", "z", "'", "s", "S", "t", "re", "VE", "ll", "0", "9", ".", "-", "é", "É", "ß", "×", "÷", "İ", "ı", "ſ", "ŉ", "Ÿ", "Ø", " ", "\n"]
+    odd = ["ẞ", "ǅ", "Σ", "ς", "\u0301", "\u00a0", "\u3000", "\x0b", "\x1c", "\x85", "<|endoftext|>", "<|", "|>", "中", "²", "\x00", "\x7f", "…", "🙂", "ﬁ"]
+    texts = ["".join(rng.choices(plain + odd * (i % 2), k=rng.randrange(25))) for i in range(6000)]
+    words = rans.Words(rans.vocabulary())
+    assert words.plain and words.type == np.dtype("<u2")
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    for most in (400_000, 50):  # the second forgets all the time
+        words.words, words.pieces = rans._Recent(most), rans._Recent(most)
+        got = [raw for at in range(0, 6000, 40) for raw in words.ids([t.encode() for t in texts[at : at + 40]])]
+        assert [np.frombuffer(raw, words.type).tolist() for raw in got] == want
+    words.plain = False
+    assert [np.frombuffer(raw, words.type).tolist() for raw in words.ids([t.encode() for t in texts[:500]])] == want[:500]
+
+
 def test_special_tokens_in_texts(spark, tmp_path):
     from tokenizers import Tokenizer
 
@@ -274,6 +373,38 @@ def test_toxicity(spark, docs, rows, empty):
     assert {r.score for r in toxicity.score(docs, nothing).collect()} == {0.5}
 
 
+def test_sums_beside_a_plain_loop_over_coordinates():
+    rng = np.random.default_rng(2)
+    state, z, n = toxicity.State.empty(), Counter(), Counter()
+    last = len(state.z) - 1
+
+    def weight(i):
+        bound = 0.0 if i == last else toxicity.L1
+        if abs(z[i]) <= bound:
+            return 0.0
+        sign = 1.0 if z[i] > 0 else -1.0
+        return -(z[i] - sign * bound) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(300):
+        at, label = np.r_[np.unique(rng.zipf(1.3, 40) % 200), last], int(rng.random() < 0.3)
+        state.learn(at, label)
+        old = {i: weight(i) for i in at.tolist()}
+        g = 1 / (1 + np.exp(-sum(old.values()))) - label
+        for i, w in old.items():
+            sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / toxicity.ALPHA
+            z[i] += g - sigma * w
+            n[i] += g * g
+    assert np.allclose(state.z[[*z]], list(z.values())) and np.allclose(state.n[[*n]], list(n.values()))
+    assert np.allclose(state.weights()[[*z]], [weight(i) for i in z]) and 0 < np.count_nonzero(state.weights()) < 201
+
+
+def test_the_fit_is_repeatable(spark):
+    corpus = brute.frame(spark, [(i, brute.sentence(i, 20) + " vile" * (i % 3 == 0), "a") for i in range(120)])
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id long, toxic int")
+    one, two = (toxicity.fit(c, labels) for c in (corpus, corpus.repartition(5)))
+    assert (one[0] == two[0]).all() and (one[1] == two[1]).all() and one[2] == two[2]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body><header><h1>Site</h1></header>
 <nav><ul><li><a href=/>Home</a></ul></nav><div class="cookie-notice">We use cookies</div>
 <div class="post-%d"><h1>Title &amp; more</h1><p><b>Bold   text<br><p>Second&nbsp;para &lt;x&gt;
@@ -294,6 +425,28 @@ def test_main_text(spark):
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_pages_with_clashing_columns(spark):
+    pages = spark.createDataFrame(
+        [(1, "http://h.example/1", PAGE % 1, "x", "y", 3, "z")],
+        "page_id long, url string, html string, host string, path string, text long, boxes string",
+    )
+    (row,) = html_text.main_text(pages).collect()
+    assert row.text == "Title & more\nBold text\nSecond para <x> line\none\ntwo"
+
+
+@pytest.mark.parametrize("start", ["<a ", '<p class="a', "<a '", "<!--", "<!", '<a ">', "<", "</a ", "<a b='\">"])
+def test_long_broken_markup_takes_linear_time(start):
+    begun = time.perf_counter()
+    html_text.extract("<p>before " + start * (1_000_000 // len(start)), None)
+    assert time.perf_counter() - begun < 10
+
+
+def test_starts_without_an_end_are_text():
+    assert html_text.extract("<p>a < b <c and <d", None) == "a < b <c and <d"
+    assert html_text.extract("<p>one <b two <!-- gone", None) == "one <b two"
+    assert html_text.extract('<p title="a>one</p><p>two</p>', None) == "one\ntwo"
+
+
 def test_consensus_outvotes_a_page():
     def page(article, other):
         return f'<body><div class="main-1"><p>{article}</p></div><div class="x"><p>{other}</p></div></body>'
@@ -321,6 +474,19 @@ def test_choice_takes_in_the_whole_article():
         assert own_text(article) == want
 
 
+def test_unmarked_lines_around_the_article_stay_out(spark):
+    long = "the long body of a real article. " * 30
+    wrapped = '<body><div id="page"><div class="top">Site name</div><div class="content"><h1>T%d</h1><div><p>%s</p></div><p>after</p></div><div class="bottom">copyright me</div></div></body>'
+    bare = '<body>Skip to<div class="content"><p>%s</p></div>All rights reserved</body>'
+    pages = [(i, f"http://one.example/{i}", wrapped % (i, long)) for i in range(4)]
+    pages += [(10 + i, f"http://two.example/{i}", bare % long) for i in range(3)]
+    got = html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    want = {i: f"T{i}\n{long.strip()}\nafter" for i in range(4)} | {10 + i: long.strip() for i in range(3)}
+    assert {r.page_id: r.text for r in got} == want
+    both = f'<div class="post"><div><p>{long}</p></div><div><p>{long[:400]}</p></div></div>'
+    assert own_text(f"<body>{both}</body>") == f"{long.strip()}\n{long[:400].strip()}"
+
+
 def test_second_template_keeps_its_article(spark):
     first = '<body><div class="main"><p>%s</p></div><div class="x"><p>%s</p></div></body>'
     second = '<body><div class="main"><p>teaser</p></div><div class="story"><p>%s</p></div></body>'
