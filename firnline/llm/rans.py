@@ -13,9 +13,13 @@ block's bytes, the doc_ids and lengths in it, and its place (part, block). Spark
 them, so a lost executor leaves nothing half-written, and they may lie in any store that Spark
 reaches. A block is never larger than BLOCK tokens and the document that crosses it.
 
-Tokens are found with the tokenizers library, word by word: white space always ends a token here,
-and the ids of words met before are remembered, up to a bound. The name of a special token in a text is
-that token, as by the library's default; none is added to a text but the end id.
+Tokens are found with the tokenizers library, once, and staged in 16 bits where the vocabulary fits:
+the frequencies and the blocks are made from the staged ids. White space always ends a token here, and the
+ids of words met lately are remembered. A new word of plain Latin letters, digits and marks is
+lower-cased and cut as the tokenizer's settings say, and the library's model gives the ids of pieces
+not met before; any other word, and any tokenizer of other settings, takes the library's whole way.
+The name of a special token in a text is that token, as by the library's default; none is added to a
+text but the end id.
 
 Defined results: a null text is empty and has the end id alone; a null doc_id comes after all
 others; documents of equal id are ordered by a hash of their text; repeated rows are documents of
@@ -24,29 +28,34 @@ their own; an empty table gives empty files; other columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
+import sys
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from firnline.llm.words import table, whole
-from firnline.staging import folder
+from firnline.staging import folder, own, release, stage
 
 BITS = 20  # frequencies sum to 2 ** BITS
 BLOCK = 1 << 20  # tokens
 LANES = 1024
 CHECKPOINT = 256  # steps
-PART_BYTES = 64 << 20  # text per part
+PART_BYTES = 32 << 20  # packed ids per part
 SLICE_BYTES = 1 << 20  # text tokenized at once
-MEMO_WORDS = 300_000
+MEMO_WORDS = 400_000  # words remembered, and as many again from before
 NO_ID = (1 << 63) - 1
 END_ID = 2
 
@@ -149,26 +158,107 @@ def decode_block(data: bytes, table: Frequencies, first: int = 0, last: int | No
     return out
 
 
-class Words(dict):
-    """Token ids of words as little-endian unsigned 32-bit integers; forgets all when full."""
+# The settings of a tokenizer that plain words may be cut for.
+_NORMAL = ["NFC", "Replace", "Lowercase"]
+_CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+#: Words of ASCII and of the letters from À to ſ, but for İ, which lower-cases to two characters.
+_PLAIN = re.compile("[!-~À-įı-ſ]+")
+#: The same cut as _CUT in lower-cased plain words.
+_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for a byte: itself where it prints, else the next from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in prints]
+    return {b: 256 + i for i, b in enumerate(others)}
+
+
+class _Recent:
+    """Answers to what was asked lately: when full, all but the newer half is forgotten."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def missing(self, keys: set) -> set:
+        """Those of `keys` that are not known; the others are in `new` from now on."""
+        unknown = keys.difference(self.new)
+        if len(self.new) + len(unknown) > self.most:
+            self.new, self.old = {}, self.new
+            unknown = keys
+        old = self.old
+        back = {k: old[k] for k in unknown if k in old}  # not by intersection, which would walk through all of `old`
+        self.new.update(back)
+        return unknown.difference(back)
+
+
+class Words:
+    """Token ids of words, as little-endian unsigned integers of 16 bits or 32."""
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one core per task
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.plain = self._settings(path)
+        self.letters = _byte_letters()
+        self.words, self.pieces = _Recent(MEMO_WORDS), _Recent(MEMO_WORDS)
+
+    @staticmethod
+    def _settings(path: str) -> bool:
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        normal = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        names = [t["content"] for t in spec.get("added_tokens", [])]
+        return (
+            normal == _NORMAL and [c["type"] for c in cuts] == ["Split", "ByteLevel"]
+            and cuts[0]["pattern"] == {"Regex": _CUT} and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"]
+            and spec["model"]["type"] == "BPE" and all(n.startswith("<|") for n in names)
+        )
+
+    def _packed(self, ids: list[int]) -> bytes:
+        packed = array("H" if self.type.itemsize == 2 else "I", ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        # ASCII letters, digits and marks stand for themselves.
+        letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return self._packed([token.id for token in self.model.tokenize(letters)])
+
+    def _found(self, words: set[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        single, cut, whole_way = [], [], []
+        for word in words:
+            if self.plain and word.isalpha():  # ASCII letters only, for bytes
+                single.append((word, word.lower().decode()))
+                continue
+            text = word.decode()
+            if self.plain and _PLAIN.fullmatch(text) and "<|" not in text:
+                cut.append((word, _PIECE.findall(text.lower())))
+            else:
+                whole_way.append((word, text))
+        new = self.pieces.missing({piece for _, piece in single}.union(*(pieces for _, pieces in cut)))
+        known = self.pieces.new
+        known.update((piece, self._piece(piece)) for piece in new)
+        for word, piece in single:
+            yield word, known[piece]
+        for word, pieces in cut:
+            yield word, b"".join(map(known.__getitem__, pieces))
+        found = self.tokenizer.encode_batch_fast([text for _, text in whole_way], add_special_tokens=False)
+        for (word, _), encoding in zip(whole_way, found, strict=True):
+            yield word, self._packed(encoding.ids)
 
     def ids(self, contents: list[bytes]) -> list[bytes]:
         split = [content.split() for content in contents]  # at ASCII white space
-        new = list(set().union(*split).difference(self.keys()))
-        if new:
-            if len(self) + len(new) > MEMO_WORDS:
-                self.clear()
-                new = list(set().union(*split))
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            self.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found, strict=True))
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+        new = self.words.missing(set().union(*split))
+        known = self.words.new
+        known.update(self._found(new))
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 @lru_cache(maxsize=2)
@@ -176,31 +266,42 @@ def load(path: str) -> Words:
     return Words(path)
 
 
-def tokenized(batches: Iterable[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[int, np.ndarray]]:
-    """doc_id and ids, the end id included, of rows (doc_id, content)."""
-    words, end = load(path), np.array([end_id], "<u4").tobytes()
+_IDS_DDL = "doc_id long, h long, row long, width int, ids binary"
 
-    def flush(docs, contents):
-        for doc, raw in zip(docs, words.ids(contents), strict=True):
-            yield doc, np.frombuffer(raw + end, "<u4")
 
-    for batch in batches:
-        docs, contents, size = [], [], 0
-        for doc, content in zip(batch.column("doc_id").to_pylist(), batch.column("content"), strict=True):
-            docs.append(doc)
-            contents.append(content.as_py())
-            size += len(contents[-1])
-            if size >= SLICE_BYTES:
-                yield from flush(docs, contents)
-                docs, contents, size = [], [], 0
-        yield from flush(docs, contents)
+def _tokenized(path: str, end_id: int):
+    """Rows (doc_id, h, row, content) to their ids, the end id included."""
 
+    def run(batches):
+        words = load(path)
+        end = words._packed([end_id])
+
+        def made(rows: pa.RecordBatch):
+            found = [raw + end for raw in words.ids(rows.column("content").to_pylist())]
+            width = pa.array(np.full(len(found), words.type.itemsize, np.int32))
+            return pa.record_batch([*rows.columns[:3], width, pa.array(found, pa.binary())], names=["doc_id", "h", "row", "width", "ids"])
+
+        for batch in batches:
+            sizes = np.cumsum(pc.binary_length(batch.column("content")).to_numpy(zero_copy_only=False))
+            cuts = np.unique(np.r_[0, np.searchsorted(sizes, np.arange(SLICE_BYTES, sizes[-1], SLICE_BYTES)), batch.num_rows]) if len(sizes) else []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                yield made(batch.slice(a, b - a))
+
+    return run
 
-def _count(path: str, end_id: int):
+
+def _unpacked(raw: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{width}").astype("<u4")
+
+
+def _count():
     def run(batches):
         counts = np.zeros(1 << 10, np.int64)
-        for _, ids in tokenized(batches, path, end_id):
-            found = np.bincount(ids)
+        for batch in batches:
+            widths, ids = batch.column("width").to_pylist(), batch.column("ids").to_pylist()
+            if not ids:
+                continue
+            found = np.bincount(_unpacked(b"".join(ids), widths[0]))
             if len(found) > len(counts):
                 counts = np.pad(counts, (0, max(len(found), 2 * len(counts)) - len(counts)))
             counts[: len(found)] += found
@@ -215,7 +316,7 @@ _BLOCKS = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("n_tokens", p
 _BLOCKS_DDL = "part long, block long, n_tokens long, doc_ids array<long>, lengths array<long>, data binary"
 
 
-def _encode(path: str, end_id: int, tokens: list[int], freq: list[int], block: int):
+def _encode(tokens: list[int], freq: list[int], block: int):
     def run(batches):
         shared = Frequencies(np.array(tokens, np.int64), np.array(freq, np.uint64))
         part = TaskContext.get().partitionId()
@@ -227,12 +328,13 @@ def _encode(path: str, end_id: int, tokens: list[int], freq: list[int], block: i
             return pa.record_batch([pa.array(c, f.type) for c, f in zip(row, _BLOCKS, strict=True)], schema=_BLOCKS)
 
         number, held, size = 0, [], 0
-        for doc, ids in tokenized(batches, path, end_id):
-            held.append((doc, ids))
-            size += len(ids)
-            if size >= block:
-                yield made(number, held)
-                number, held, size = number + 1, [], 0
+        for batch in batches:
+            for doc, width, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "width", "ids")), strict=True):
+                held.append((doc, _unpacked(raw, width)))
+                size += len(held[-1][1])
+                if size >= block:
+                    yield made(number, held)
+                    number, held, size = number + 1, [], 0
         if held:
             yield made(number, held)
 
@@ -250,18 +352,20 @@ def write_tokens(
         F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(content).alias("h"),
         F.monotonically_increasing_id().alias("row"), content.cast("binary").alias("content"),
     )
-    counted = docs.select("doc_id", "content").mapInArrow(_count(tokenizer, end_id), "token long, n long")
+    ids = stage(docs.select("doc_id", "h", "row", "content").mapInArrow(_tokenized(tokenizer, end_id), _IDS_DDL))
+    counted = ids.select("width", "ids").mapInArrow(_count(), "token long, n long")
     # One row per token of the vocabulary, which bounds what the driver gets.
     counts = counted.groupBy("token").agg(F.sum("n").alias("n")).orderBy("token").collect()
     tokens = [r.token for r in counts]
     freq = Frequencies.scaled(np.array([r.n for r in counts], np.int64)).tolist()
     spark.createDataFrame(list(zip(tokens, freq, strict=True)), "token long, frequency long").coalesce(1).write.parquet(f"{out}/table")
-    total = docs.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+    total = ids.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // part_bytes))
     # The hash and the row number let equal ids be cut apart.
-    ordered = docs.repartitionByRange(parts, "doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row")
-    blocks = ordered.select("doc_id", "content").mapInArrow(_encode(tokenizer, end_id, tokens, freq, block), _BLOCKS_DDL)
+    ordered = ids.repartitionByRange(parts, "doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row")
+    blocks = ordered.select("doc_id", "width", "ids").mapInArrow(_encode(tokens, freq, block), _BLOCKS_DDL)
     blocks.write.option("compression", "none").parquet(f"{out}/blocks")
+    release(spark, ids)
 
 
 def _decode(tokens: list[int], freq: list[int], with_ids: bool):
@@ -319,6 +423,6 @@ def vocabulary() -> str:
 
 
 def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = f"{folder(spark)}/tokens-{uuid.uuid4().hex}"
+    out = own(spark, f"{folder(spark)}/tokens-{uuid.uuid4().hex}")
     write_tokens(table(spark, sf_dir, "documents"), out, vocabulary())
     return read_tokens(spark, out, with_ids=False).drop("ids")
