@@ -275,26 +275,28 @@ def _merged_streams(batches: Iterable[pa.RecordBatch], dtype: np.dtype):
             if index is None:
                 records = _unpack(held, dtype)
                 records = records[np.lexsort((records["doc"], records["h"]))]
-                held, index = [], (records, records["h"])
+                # Of the type of what is looked up, or each search would convert the whole column.
+                held, index = [], (records, records["h"].astype(np.int64))
             records, hashes = index
-            low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+            low, high = np.searchsorted(hashes, np.array([h, h + 1], np.int64)).tolist()
             mine = records[low:high]
             yield p, doc, h, content.as_py(), mine[mine["doc"] == doc]
 
 
 def _contexts(length: int, groups: int):
     """Documents with their shared anchors to contexts, one per distinct context of a group of documents."""
-    field = np.dtype([*((n, OCCURRENCE[n]) for n in OCCURRENCE.names), ("size", "<u2")])
+    # 32 bits of an anchor are enough in its bucket: contexts of two anchors that meet are only compared more.
+    field = np.dtype([("key", "<u4"), *((n, OCCURRENCE[n]) for n in OCCURRENCE.names[1:])])
 
     def flush(seen: dict, groups_out: list):
         # seen: context -> [smallest doc, its occurrences]
         records, texts = [], []
         for (_, context), (_, places) in seen.items():
-            for place in places:
-                records.append((*place, len(context)))
-                texts.append(context)
-        table = np.array(records, field) if records else np.empty(0, field)
-        where = _bucket(table["key"], groups)
+            records += places
+            texts += [context] * len(places)
+        whole_keys = np.array(records, OCCURRENCE) if records else np.empty(0, OCCURRENCE)
+        where = _bucket(whole_keys["key"], groups)
+        table = whole_keys.astype(field)  # the low bits of the key
         order = np.argsort(where, kind="stable")
         cuts = np.flatnonzero(np.diff(where[order])) + 1
         for rows in np.split(order, cuts) if len(order) else ():
@@ -367,15 +369,16 @@ def _settle(length: int, groups: int, field: np.dtype):
         start = np.repeat(begin - first, counts) + np.arange(counts.sum())
         doc = np.repeat(np.array([contexts[c][2] for c in chosen]), counts)
         later = longest_previous(np.lib.stride_tricks.sliding_window_view(data, length)[start], doc)
-        for c, f, n in zip(chosen, first, counts, strict=True):
-            flags = later[f : f + n]
-            if not flags.any():
-                continue
-            edge = np.flatnonzero(np.diff(np.r_[0, flags.view(np.int8), 0]))
-            for e in contexts[c][3]:
-                _, d, h, at, lo, _, _ = entries[e]
-                for a, b in zip(edge[::2], edge[1::2], strict=True):
-                    yield d, h, at - lo + int(a), at - lo + int(b) - 1 + length
+        edge = np.zeros(len(later) + 1, bool)  # where a context begins
+        edge[np.r_[first, len(later)]] = True
+        before, after = np.r_[False, later[:-1]], np.r_[later[1:], False]
+        low = np.flatnonzero(later & (edge[:-1] | ~before))
+        high = np.flatnonzero(later & (edge[1:] | ~after))
+        owner = np.searchsorted(first, low, "right") - 1
+        for c, a, b in zip(owner.tolist(), (low - first[owner]).tolist(), (high - first[owner]).tolist(), strict=True):
+            for e in contexts[chosen[c]][3]:
+                _, d, h, at, lo, _ = entries[e]
+                yield d, h, at - lo + a, at - lo + b + length
 
     def run(batches):
         for _, rows in _parts(batches):
@@ -386,13 +389,14 @@ def _settle(length: int, groups: int, field: np.dtype):
                     continue
                 n = int.from_bytes(data[:8], "little")
                 head = _unpack([data[8 : 8 + n * field.itemsize]], field)
-                ends = np.cumsum(head["size"], dtype=np.int64)
+                sizes = head["lo"].astype(np.int64) - head["hi"] + length
+                ends = np.cumsum(sizes)
                 body = memoryview(data)[8 + n * field.itemsize :]
                 entries += head.tolist()
-                texts += [bytes(body[e - s : e]) for s, e in zip(head["size"].tolist(), ends.tolist(), strict=True)]
+                texts += [bytes(body[e - s : e]) for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
             found, contexts, by_anchor, index = [], [], {}, {}
             for i, (entry, text) in enumerate(zip(entries, texts, strict=True)):
-                key, doc, h, at, lo, hi, _ = entry
+                key, doc, _, _, lo, _ = entry
                 c = index.get((lo, text))
                 if c is None:
                     index[lo, text] = len(contexts)
@@ -405,7 +409,7 @@ def _settle(length: int, groups: int, field: np.dtype):
                     continue
                 gone = [i] if doc > slot[2] else slot[3]
                 found += [
-                    (d, g, a - o, a - e + length) for _, d, g, a, o, e, _ in (entries[x] for x in gone)
+                    (d, g, a - o, a - e + length) for _, d, g, a, o, e in (entries[x] for x in gone)
                 ]
                 if doc < slot[2]:
                     slot[2:] = [doc, [i]]
