@@ -30,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import groupby
 from operator import itemgetter
 
@@ -48,6 +49,7 @@ TOKENS = 128  # minwise tokens of a sketch
 NODE = 400  # classes of a node that are compared exhaustively
 TASK_NODE = 20_000  # classes of a node that one task branches
 TASK_SHINGLES = 1 << 22  # shingles of a candidate group that one task compares
+TEXT_PASSES = 4  # passes in which the texts are dealt out to the classes whose sets are compared
 DEPTH = 24
 DENSE = 0.75  # share of the central sketch's tokens from which a class is near it
 BRANCHES = 2
@@ -433,14 +435,20 @@ def _candidate_groups(classes: DataFrame, percent: int, node: int, task_node: in
     return groups
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int, passes: int = TEXT_PASSES) -> list[DataFrame]:
     """(digest, shingles) of the classes wanted, from the text of each one's representative.
 
-    The join is by shuffle at every size: how many are wanted grows with the documents.
+    The join is by shuffle at every size: how many are wanted grows with the documents. Each pass takes
+    the ids of one remainder, so that the shuffle holds no more than its share of all texts at once.
     """
-    wanted = wanted.select("digest", F.col("rep").alias("_rep")).hint("merge")
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_rep"))).select("digest", "text")
-    return texts.mapInArrow(_sets(shingle), "digest binary, shingles binary").dropDuplicates(["digest"])
+    turn = lambda c: F.pmod(F.xxhash64(c), F.lit(passes))
+    wanted = wanted.select("digest", F.col("rep").alias("_rep"))
+    made = []
+    for at in range(passes):
+        here = wanted.where(turn("_rep") == at).hint("merge")
+        texts = docs.where(turn("doc_id") == at).join(here, F.col("doc_id").eqNullSafe(F.col("_rep"))).select("digest", "text")
+        made.append(stage(texts.mapInArrow(_sets(shingle), "digest binary, shingles binary").dropDuplicates(["digest"])))
+    return made
 
 
 def _confirm(parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -457,7 +465,7 @@ def _exact_labels(groups: DataFrame, docs: DataFrame, classes: DataFrame, shingl
     member = stage(
         member.join(totals, F.col("_group") == F.col("_of")).select(F.xxhash64("_group").alias("node"), "digest", "rep", "n", "size", "_all")
     )
-    sets = stage(_sets_of(docs, member, shingle))
+    sets = reduce(DataFrame.unionAll, _sets_of(docs, member, shingle))
     fits = F.col("_all") <= task_shingles
     links = stage(_confirm(member.where(fits).select("node", "digest"), sets, percent))
     large = member.where(~fits)

@@ -142,6 +142,19 @@ def test_links_span_the_components(seed):
     assert groups(found) == groups(up) and len(links) == 40 - len(groups(up))
 
 
+def test_texts_of_candidates_are_dealt_out_in_passes(spark):
+    rows = [(i, f"{i} snow on the plot") for i in range(40)] + [(None, "no id on this row"), (3, "3 snow on the plot"), (4, "other")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    digest = lambda text: chosen_path._digest(chosen_path.shingle_set(text, 4))
+    wanted = list({(digest(text), i) for i, text in rows if i is None or i % 2})
+    passes = chosen_path._sets_of(docs, spark.createDataFrame(wanted, "digest binary, rep long"), 4)
+    got = [[(bytes(r.digest), bytes(r.shingles)) for r in made.collect()] for made in passes]
+    assert len(got) == chosen_path.TEXT_PASSES and max(map(len, got)) < len(wanted) * 0.6
+    assert sorted(x for made in got for x in made) == sorted(
+        {(digest(t), chosen_path.shingle_set(t, 4).tobytes()) for i, t in rows if i is None or i % 2}
+    )
+
+
 def test_near_dedup_keeps_columns(docs):
     kept = chosen_path.near_dedup(docs, shingle=5)
     assert kept.columns == docs.columns
