@@ -12,7 +12,8 @@ r * (1 - b) = -ln v. So t = floor((ln w - ln u) / r) and a = c * v * (u * v) **
 
 A sample is one whole number, a in the high bits and a hash of (i, t) in the low ones, so that a
 text's fingerprint is one hash aggregation with a `min` per sample; texts are dealt out by a row
-number before, which no group shares. The fingerprint is the low bits of all samples, in hex.
+number before, which no group shares, and stay in those buckets: of the edited texts only the part that
+the next document gives is shuffled. The fingerprint is the low bits of all samples, in hex.
 
 Defined results: a null text is empty; a text without words has an empty fingerprint, which is fully
 like another empty one and not at all like others; null doc_ids come after all others in descending
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from firnline.llm.words import SPACE, table, whole
 from firnline.operators.skew import BLOCK, POS, block_sort
-from firnline.staging import release, stage
+from firnline.staging import release, stage, stage_by
 
 SAMPLES = 64
 BITS = 16
@@ -105,41 +106,43 @@ def edited_fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text
     next document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     spark = df.sparkSession
     content = whole(F.col(text))
-    docs = stage(
+    docs = stage_by(
         df.select(
             F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"),
             F.length(content).cast("long").alias("n_chars"), F.xxhash64(content).alias("h"), content.alias("text"),
-        )
+        ), "row",
     )
-    dealt = docs.select("row", "text").repartition("row")
-    own = stage(fingerprints(dealt, "row", "text", samples))
+    texts = docs.select("row", "text")
+    own = stage(fingerprints(texts, "row", "text", samples))
     order = [F.col("doc_id").desc_nulls_last(), F.col("h"), F.col("row")]
     following = stage(with_next(docs.select("row", "doc_id", "h"), order))
     # What the next document gives to each: as many characters as the row replaces, and its fingerprint.
     lengths = docs.select(F.col("row").alias("_r"), F.floor(F.col("n_chars") / 2).alias("_half"))
     wanted = following.join(lengths, F.col("row") == F.col("_r")).select(F.col("row").alias("_to"), F.col("next_row").alias("_from"), "_half")
+    given = texts.join(wanted, F.col("row") == F.col("_from")).select(
+        "_to", F.substr("text", F.lit(1), F.col("_half").cast("int")).alias("_given")
+    )
     prints = own.select(F.col("row").alias("_r"), F.col("fingerprint"))
-    given = (
-        dealt.join(wanted, F.col("row") == F.col("_from"))
-        .join(prints, F.col("row") == F.col("_r"), "left")
-        .select("_to", F.substr("text", F.lit(1), F.col("_half").cast("int")).alias("_given"),
-                F.coalesce("fingerprint", F.lit("")).alias("_next_print"))
-    )
+    next_prints = following.join(prints, F.col("next_row") == F.col("_r")).select(
+        F.col("row").alias("_n"), F.col("fingerprint").alias("_next_print")
+    )
     chars = F.length("text")
     head = F.substr("text", F.lit(1), (chars - F.floor(chars / 2)).cast("int"))
-    edited = stage(dealt.join(given, F.col("row") == F.col("_to")).select("row", F.concat(head, "_given").alias("edited"), "_next_print"))
-    changed = fingerprints(edited.repartition("row"), "row", "edited", samples)
-    facts = edited.select(F.col("row").alias("_e"), F.sha2("edited", 256).alias("edited_sha256"), "_next_print")
+    # Texts stay where they are dealt; only what is given moves. Edited texts are never written.
+    edited = texts.join(given, F.col("row") == F.col("_to")).select("row", F.concat(head, "_given").alias("edited"))
+    facts = edited.select(F.col("row").alias("_e"), F.sha2("edited", 256).alias("edited_sha256"))
+    changed = fingerprints(edited, "row", "edited", samples)
     changed = changed.select(F.col("row").alias("_c"), F.col("fingerprint").alias("edited_fingerprint"))
     result = stage(
         docs.select("row", "doc_id", "n_chars")
         .join(facts, F.col("row") == F.col("_e"))
         .join(prints, F.col("row") == F.col("_r"), "left")
+        .join(next_prints, F.col("row") == F.col("_n"), "left")
         .join(changed, F.col("row") == F.col("_c"), "left")
-        .select("doc_id", "n_chars", "edited_sha256", "_next_print",
-                *[F.coalesce(c, F.lit("")).alias(c) for c in ("fingerprint", "edited_fingerprint")])
+        .select("doc_id", "n_chars", "edited_sha256",
+                *[F.coalesce(c, F.lit("")).alias(c) for c in ("fingerprint", "edited_fingerprint", "_next_print")])
     )
-    release(spark, docs, own, following, edited)
+    release(spark, docs, own, following)
     return result.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),

@@ -43,6 +43,28 @@ def stage(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_by(df: DataFrame, key: str, compression: str = "zstd") -> DataFrame:
+    """As `stage`, dealt out by `key` in as many buckets as a shuffle has partitions.
+
+    Joins and groups by `key` read the table as it lies, so its rows are shuffled once, while it is
+    written. The catalog's entry is only needed until the table is read back and goes at once.
+    """
+    spark = df.sparkSession
+    name = f"firnline_{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/{name}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    own(spark, path)
+    try:
+        dealt = df.repartition(buckets, key).write.option("compression", compression).option("path", path)
+        dealt.bucketBy(buckets, key).saveAsTable(name, format="parquet")
+        return spark.table(name)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def own(spark: SparkSession, path: str) -> str:
     """Let the application delete `path` when it ends, as it does its staged tables."""
     _owned.setdefault(spark.sparkContext.applicationId, []).append((spark, path))

@@ -119,3 +119,16 @@ def test_main_path_is_native(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     plan = fingerprints.edited_fingerprints(df, samples=4)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_texts_are_dealt_out_once(spark, monkeypatch):
+    staged, read = [], []
+    stage, stage_by = fingerprints.stage, fingerprints.stage_by
+    monkeypatch.setattr(fingerprints, "stage", lambda df: (staged.append(df), stage(df))[1])
+    monkeypatch.setattr(fingerprints, "stage_by", lambda df, key: (read.append(stage_by(df, key)), read[-1])[1])
+    df = spark.createDataFrame([(i, f"a{i} b c " * 9) for i in range(50)], "doc_id long, text string")
+    assert fingerprints.edited_fingerprints(df, samples=4).count() == 50
+    assert len(read) == 1 and not any({"text", "edited"} & set(t.columns) for t in staged)
+    own = staged[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in own
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("firnline_")]
