@@ -14,10 +14,11 @@ them, so a lost executor leaves nothing half-written, and they may lie in any st
 reaches. A block is never larger than BLOCK tokens and the document that crosses it.
 
 Tokens are found with the tokenizers library, once, and staged in 16 bits where the vocabulary fits:
-the frequencies and the blocks are made from the staged ids. White space always ends a token here, and the
-ids of words met lately are remembered. A new word of plain Latin letters, digits and marks is
-lower-cased and cut as the tokenizer's settings say, and the library's model gives the ids of pieces
-not met before; any other word, and any tokenizer of other settings, takes the library's whole way.
+the frequencies and the blocks are made from the staged ids. White space always ends a token here, and
+each distinct word of a slice of texts is looked at once. Words of plain Latin letters, digits and marks
+are lower-cased and cut as arrays, as the tokenizer's settings say; the ids of pieces met lately are
+remembered, and the library's model gives those of others. Plain words with an apostrophe are cut one at a
+time; any other word, and any tokenizer of other settings, takes the library's whole way.
 The name of a special token in a text is that token, as by the library's default; none is added to a
 text but the end id.
 
@@ -54,7 +55,7 @@ BLOCK = 1 << 20  # tokens
 LANES = 1024
 CHECKPOINT = 256  # steps
 PART_BYTES = 32 << 20  # packed ids per part
-SLICE_BYTES = 1 << 20  # text tokenized at once
+SLICE_BYTES = 4 << 20  # text tokenized at once
 MEMO_WORDS = 400_000  # words remembered, and as many again from before
 NO_ID = (1 << 63) - 1
 END_ID = 2
@@ -167,6 +168,13 @@ _PLAIN = re.compile("[!-~À-įı-ſ]+")
 #: The same cut as _CUT in lower-cased plain words.
 _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+")
 
+#: Plain words that are cut as arrays: without apostrophes, which begin pieces of their own, signs among
+#: the letters, and the names of special tokens.
+_VECTOR = "^[!-&(-;=-~À-ÖØ-öø-įı-ſ]+$"
+_DIGIT = 1
+#: What a byte of such a word in lower case is: a letter or a part of one, a digit or a mark.
+_KIND = np.array([_DIGIT if chr(b).isdigit() else 0 if chr(b).isalpha() else 2 for b in range(128)] + [0] * 128, np.uint8)
+
 
 def _byte_letters() -> dict[int, int]:
     """The letter that stands for a byte: itself where it prints, else the next from 256 on."""
@@ -254,11 +262,60 @@ class Words:
             yield word, self._packed(encoding.ids)
 
     def ids(self, contents: list[bytes]) -> list[bytes]:
-        split = [content.split() for content in contents]  # at ASCII white space
-        new = self.words.missing(set().union(*split))
+        return self.joined(pa.array(contents, pa.binary()), b"").to_pylist()
+
+    def joined(self, contents: pa.Array, end: bytes) -> pa.Array:
+        """Of each content the ids of its words, followed by `end`."""
+        split = pc.ascii_split_whitespace(contents.cast(pa.string(), safe=False))  # white space around gives empty words
+        coded = split.flatten().dictionary_encode()
+        found, place = self._of_distinct(coded.dictionary)
+        ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False), dtype=np.int64)
+        order = np.insert(place[coded.indices.to_numpy(zero_copy_only=False)], ends, len(found))
+        found = pa.concat_arrays([found, pa.array([end], pa.binary())])
+        return _joined(found.take(pa.array(order)), np.r_[0, ends + np.arange(1, len(ends) + 1)])
+
+    def _of_distinct(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The ids of the words in an order of their own, and each word's place in it."""
+        vector = pc.match_substring_regex(words, _VECTOR) if self.plain else pa.array(np.zeros(len(words), bool))
+        vector = vector.to_numpy(zero_copy_only=False)
+        place = np.empty(len(words), np.int64)
+        place[vector] = np.arange(np.count_nonzero(vector))
+        place[~vector] = np.arange(np.count_nonzero(vector), len(words))
+        others = words.filter(pa.array(~vector)).cast(pa.binary()).to_pylist()
+        new = self.words.missing(set(others) - {b""})
         known = self.words.new
         known.update(self._found(new))
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        known[b""] = b""
+        ids = pa.array(map(known.__getitem__, others), pa.binary())
+        return pa.concat_arrays([self._cut(words.filter(pa.array(vector))), ids]), place
+
+    def _cut(self, words: pa.Array) -> pa.Array:
+        """The ids of plain words without apostrophes, cut where letters, digits and marks meet."""
+        if not len(words):
+            return pa.array([], pa.binary())
+        lower = pa.concat_arrays([pc.utf8_lower(words)])  # at offset 0
+        _, begin, data = lower.buffers()
+        begin = np.frombuffer(begin, np.int32, len(lower) + 1)
+        kind = _KIND[np.frombuffer(data, np.uint8, begin[-1])]
+        starts = np.empty(len(kind), bool)
+        starts[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+        starts[begin[:-1]] = True
+        at = np.flatnonzero(starts)
+        cuts = np.append(at, begin[-1]).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(cuts), data]).dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
+        new = self.pieces.missing(set(pieces))
+        known = self.pieces.new
+        known.update((piece, self._piece(piece)) for piece in new)
+        found = pa.array(map(known.__getitem__, pieces), pa.binary())
+        return _joined(found.take(coded.indices), np.searchsorted(at, begin))
+
+
+def _joined(parts: pa.Array, cuts: np.ndarray) -> pa.Array:
+    """Runs of binary values, from each of `cuts` to the next, as one value each; the bytes stay in place."""
+    _, offsets, data = parts.buffers()
+    offsets = np.frombuffer(offsets, np.int32, len(parts) + 1)[cuts]
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets), data])
 
 
 @lru_cache(maxsize=2)
@@ -277,9 +334,9 @@ def _tokenized(path: str, end_id: int):
         end = words._packed([end_id])
 
         def made(rows: pa.RecordBatch):
-            found = [raw + end for raw in words.ids(rows.column("content").to_pylist())]
+            found = words.joined(rows.column("content"), end)
             width = pa.array(np.full(len(found), words.type.itemsize, np.int32))
-            return pa.record_batch([*rows.columns[:3], width, pa.array(found, pa.binary())], names=["doc_id", "h", "row", "width", "ids"])
+            return pa.record_batch([*rows.columns[:3], width, found], names=["doc_id", "h", "row", "width", "ids"])
 
         for batch in batches:
             sizes = np.cumsum(pc.binary_length(batch.column("content")).to_numpy(zero_copy_only=False))

@@ -357,6 +357,17 @@ def test_words_take_the_ids_of_the_library():
     assert [np.frombuffer(raw, words.type).tolist() for raw in words.ids([t.encode() for t in texts[:500]])] == want[:500]
 
 
+def test_plain_words_are_cut_as_arrays(monkeypatch):
+    words, asked = rans.Words(rans.vocabulary()), set()
+    found = rans.Words._found
+    monkeypatch.setattr(rans.Words, "_found", lambda self, new: (asked.update(new), found(self, new))[1])
+    texts = ["Snow, snow-depth 12.5cm", "", " \x0bÉtÉ×2\x0c", "it's <b> 雪", "snow (depth)"]
+    want = [np.array(e.ids, "<u2").tobytes() for e in words.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert words.ids([t.encode() for t in texts]) == want
+    assert asked == {w.encode() for w in ("ÉtÉ×2", "it's", "<b>", "雪")}
+    assert {"snow", "depth", ",", "-", "cm", "1"} <= set(words.pieces.new) and "snow," not in words.pieces.new
+
+
 def test_special_tokens_in_texts(spark, tmp_path):
     from tokenizers import Tokenizer
 
